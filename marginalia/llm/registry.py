@@ -5,23 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_docs
+from . import line_dedup, near_docs, quality
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that an earlier line resembles at a Jaccard similarity of 0.8 or more."""
+    return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of good quality of every document, and whether it is kept."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.scored(docs.select("doc_id", "text"), labels).select("doc_id", "probability", (F.col("probability") >= quality.KEEP_AT).alias("kept"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs of all documents: word 3-grams, Jaccard similarity of at least 0.5."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_docs.near_pairs(docs)
+    return near_docs.near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_ngram_join,)}
+    return {f.__name__: f for f in (op2_line_dedup, op4_quality, op8_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": near_docs.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op8_ngram_join": near_docs.SQL}
