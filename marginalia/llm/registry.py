@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_docs, quality
+from . import exact_dedup, line_dedup, near_docs, packing, quality, sharding
+
+
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that no other document with a lesser doc_id equals byte for byte, with their SHA-256."""
+    return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "digest")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,14 +26,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), labels).select("doc_id", "probability", (F.col("probability") >= quality.KEEP_AT).alias("kept"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens, 16 pieces and half of full attention at most."""
+    return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs of all documents: word 3-grams, Jaccard similarity of at least 0.5."""
     return near_docs.near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 64 shards of equal mixture, in a seeded order."""
+    return sharding.sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_quality, op8_ngram_join)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_quality, op6_packing, op8_ngram_join, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op8_ngram_join": near_docs.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op10_sharding": sharding.SQL, "op2_line_dedup": line_dedup.SQL, "op8_ngram_join": near_docs.SQL}
