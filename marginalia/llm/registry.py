@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, near_docs, packing, quality, sharding
+from . import bpe, exact_dedup, line_dedup, near_docs, near_vectors, packing, quality, sharding
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,11 +26,21 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.select("doc_id", "text"), labels).select("doc_id", "probability", (F.col("probability") >= quality.KEEP_AT).alias("kept"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document in the 50k byte-level vocabulary, and whether they decode to its text."""
+    return bpe.encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens, 16 pieces and half of full attention at most."""
     return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding that an earlier one resembles at a cosine of 0.95 or more."""
+    return near_vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate pairs of all documents: word 3-grams, Jaccard similarity of at least 0.5."""
     return near_docs.near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -42,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_quality, op6_packing, op8_ngram_join, op10_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_quality, op5_bpe, op6_packing, op7_near_vectors, op8_ngram_join, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
