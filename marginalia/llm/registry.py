@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, near_docs, near_vectors, packing, quality, sharding
+from . import bpe, chat, exact_dedup, licences, line_dedup, near_docs, near_vectors, packing, quality, sharding
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or its nearest directory's, in the tree of document_files."""
+    files = licences.document_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return licences.licences(files).withColumn("cosine", F.round("cosine", 6))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability of good quality of every document, and whether it is kept."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -46,14 +52,20 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_docs.near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its derived tool calls, linked, ordered, validated and serialised."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.chats(conversations, *chat.tool_view(conversations))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 64 shards of equal mixture, in a seeded order."""
     return sharding.sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_quality, op5_bpe, op6_packing, op7_near_vectors, op8_ngram_join, op10_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_licences, op4_quality, op5_bpe, op6_packing, op7_near_vectors, op8_ngram_join, op9_chat, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op10_sharding": sharding.SQL, "op2_line_dedup": line_dedup.SQL, "op8_ngram_join": near_docs.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op10_sharding": sharding.SQL, "op2_line_dedup": line_dedup.SQL, "op3_licences": licences.sql(), "op8_ngram_join": near_docs.SQL}
