@@ -16,39 +16,49 @@ def folder(path: str = "path") -> Column:
     return F.regexp_replace(F.regexp_replace(F.col(path), r"[^/]*\z", ""), r"/\z", "")
 
 
-def _split(content: str) -> tuple[Column, Column, Column]:
-    """Where the YAML begins (1-based, 0: there is none), the position of the line feed that ends it, and whether it ends."""
-    c = F.col(content)
-    begin = F.when(c.startswith("---\n"), 5).when(c.startswith("---\r\n"), 6).otherwise(0)
-    first = F.locate("\n---\n", c, 4)
-    second = F.locate("\n---\r\n", c, 4)
-    # The search starts behind the opening line's own end.
-    first = F.expr(f"locate('\\n---\\n', {content}, if(startswith({content}, '---\\r\\n'), 6, 5))")
-    second = F.expr(f"locate('\\n---\\r\\n', {content}, if(startswith({content}, '---\\r\\n'), 6, 5))")
-    last = F.when(c.endswith("\n---") & (F.length(c) - 3 >= begin), F.length(c) - 3).otherwise(0)
-    end = F.when(begin == 0, 0).when(first > 0, first).when(second > 0, second).otherwise(last)
-    return begin, end, end > 0
+def head(content: str = "content") -> Column:
+    """The frontmatter with both its rules and the line end behind it; empty if there is none.
+
+    It closes at the first line `---` that ends in a line feed alone, else at the first that
+    ends in both, else at one that ends the note; never at the line under the opening one.
+    """
+    found = [F.regexp_extract(content, r"(?s)\A---\r?\n.*?\n---" + end, 0) for end in (r"\n", r"\r\n", r"\z")]
+    return F.when(~F.col(content).startswith("---"), "").when(found[0] != "", found[0]).when(found[1] != "", found[1]).otherwise(found[2])
+
+
+def raw_of(head: Column) -> Column:
+    return F.when(head != "", F.regexp_extract(head, r"(?s)\A---\r?\n(.*)\n---(?:\r?\n)?\z", 1))
+
+
+def body_of(head: Column, content: Column) -> Column:
+    return F.substring(content, F.length(head) + 1, F.length(content))
+
+
+def begin_of(head: Column) -> Column:
+    feeds = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
+    return F.when(head == "", 1).otherwise(feeds + F.when(head.endswith("\n"), 1).otherwise(2))
 
 
 def frontmatter_raw(content: str = "content") -> Column:
-    begin, end, there = _split(content)
-    return F.when(there, F.substring(F.col(content), begin, end - begin))
+    return raw_of(head(content))
 
 
 def has_frontmatter(content: str = "content") -> Column:
-    return _split(content)[2]
+    return head(content) != ""
 
 
 def body(content: str = "content") -> Column:
-    _, end, there = _split(content)
-    rest = F.substring(F.col(content), end + 4, F.length(content))
-    return F.when(there, F.regexp_replace(rest, r"\A\r?\n", "")).otherwise(F.col(content))
+    return body_of(head(content), F.col(content))
 
 
 def body_start_line(content: str = "content") -> Column:
-    _, end, there = _split(content)
-    head = F.substring(F.col(content), F.lit(1), end + 3)
-    return F.when(there, F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 2).otherwise(1)
+    return begin_of(head(content))
+
+
+def parted(notes: DataFrame) -> DataFrame:
+    """`notes` with __head, __body and __begin, each computed once."""
+    out = notes.withColumn("__head", head())
+    return out.withColumn("__body", body_of(F.col("__head"), F.col("content"))).withColumn("__begin", begin_of(F.col("__head")))
 
 
 def normalized(path: Column) -> Column:
@@ -113,7 +123,8 @@ def note_exists(notes: DataFrame, path: str) -> bool:
 
 
 def accessors(notes: DataFrame) -> DataFrame:
-    return notes.select("path", name().alias("name"), folder().alias("folder"), has_frontmatter().alias("has_frontmatter"), frontmatter_raw().alias("frontmatter_raw"), body().alias("body"), body_start_line().alias("body_start_line"))
+    raw = raw_of(F.col("__head"))
+    return parted(notes).select("path", name().alias("name"), folder().alias("folder"), (F.col("__head") != "").alias("has_frontmatter"), raw.alias("frontmatter_raw"), F.col("__body").alias("body"), F.col("__begin").alias("body_start_line"))
 
 
 def stats(notes: DataFrame) -> DataFrame:
