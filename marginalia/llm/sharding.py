@@ -54,11 +54,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
     filled = cuts.groupBy("slice").agg(F.sum("c").alias("c")).withColumn("shard", shard)
     offsets = filled.select("slice", (F.sum("c").over(Window.partitionBy("shard").orderBy("slice")) - F.col("c")).alias("offset"))
     table = cuts.join(offsets, "slice").groupBy("s", "part").agg(F.sort_array(F.collect_list(F.struct("low", "slice", "rank", "n", "offset"))).alias("cuts"))
-    table = scratch.written(table, "places").withColumnsRenamed({"s": "__s", "part": "__part"})
+    table = scratch.written(table, "places").withColumnsRenamed({"s": "__s", "part": "__part", "cuts": "__cuts"})
     held = cuts.count()
     placed = (
         keyed.join(F.broadcast(table) if held <= BROADCAST_CUTS else table, F.col("source").eqNullSafe(F.col("__s")) & (part(F.col("__key")) == F.col("__part")))
-        .withColumn("__cut", F.expr("element_at(filter(cuts, c -> c.low <= __key), -1)"))
+        .withColumn("__cut", F.expr("element_at(filter(__cuts, c -> c.low <= __key), -1)"))
         .select(*names, "__key", "__part", "__cut")
         .withColumn("__slice", F.col("__cut.slice"))
     )
