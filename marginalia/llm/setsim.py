@@ -32,8 +32,10 @@ FREQUENT = 1_000_000
 #: Counts under this are never told apart.
 FLOOR = 4
 #: Postings in one range of token hashes, and records whose sets meet in one verification group.
-RANGE_POSTINGS = 1_500_000
-GROUP_RECORDS = 2_000
+RANGE_POSTINGS = 600_000
+GROUP_RECORDS = 1_000
+#: Pairs that a task sums before it passes them on, and pairs in a batch of its output.
+HELD_PAIRS, MOVED_PAIRS = 500_000, 50_000
 #: Records known by broadcast when their texts are fetched; beyond it, by a shuffle join.
 BROADCAST_RECORDS = 1_000_000
 MOST_MATCHES = 8
@@ -71,31 +73,36 @@ def record_tokens(at: np.ndarray, raw: np.ndarray, low: int, high: int, rule: Ru
 
 
 def packed_count(rule: Rule, ranges: int):
+    def counted(parts: list) -> pa.RecordBatch:
+        value, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint32), return_counts=True)
+        edge = np.searchsorted(value, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
+        rows = []
+        for k in np.flatnonzero(np.diff(edge)):
+            own, times = value[edge[k] : edge[k + 1]], count[edge[k] : edge[k + 1]]
+            gaps = np.diff(own, prepend=np.uint32(0))
+            first, gaps[0] = int(own[0]), 0
+            small = gaps.max() < 1 << 16
+            many = times.max() > 1
+            rows.append((int(k), first, gaps.astype(np.uint16 if small else np.uint32).tobytes(), 2 if small else 4, times.astype(np.uint32).tobytes() if many else b""))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["part", "first", "gaps", "width", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, raw = flat(batch.column("text"))
-            parts = []
+            parts, held = [], 0
             for low, high in blocks(at):
+                if held > 2 * RANGE_POSTINGS:
+                    yield counted(parts)
+                    parts, held = [], 0
                 tokens, bounds, _, _ = record_tokens(at, raw, low, high, rule)
+                held += len(tokens)
                 if rule.unit == "doc" and len(tokens):
                     row = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
                     parts.append((np.unique((tokens >> np.uint64(32) << np.uint64(32)) | row) >> np.uint64(32)).astype(np.uint32))
                 else:
                     parts.append((tokens >> np.uint64(32)).astype(np.uint32))
-            value, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint32), return_counts=True)
-            edge = np.searchsorted(value, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-            rows = []
-            for k in np.flatnonzero(np.diff(edge)):
-                own, times = value[edge[k] : edge[k + 1]], count[edge[k] : edge[k + 1]]
-                gaps = np.diff(own, prepend=np.uint32(0))
-                first, gaps[0] = int(own[0]), 0
-                small = gaps.max() < 1 << 16
-                many = times.max() > 1
-                rows.append((int(k), first, gaps.astype(np.uint16 if small else np.uint32).tobytes(), 2 if small else 4, times.astype(np.uint32).tobytes() if many else b""))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()))],
-                ["part", "first", "gaps", "width", "times"],
-            )
+            yield counted(parts)
 
     return run
 
@@ -181,13 +188,46 @@ def matches_asked(key: np.ndarray, bounds: np.ndarray, size: np.ndarray, rule: R
     return best
 
 
+def least_bytes(x: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in as few bytes each as hold them all."""
+    return x.astype(np.min_scalar_type(int(x.max())))
+
+
+def as_sent(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{len(data) // n}").astype(np.int32)
+
+
 def packed_postings(rule: Rule, classes, ranges: int):
+    def packed(parts: list, records: list) -> pa.RecordBatch:
+        token, one, size, extra, place = (np.concatenate(x) for x in zip(*parts))
+        part = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((one, part))
+        token, one, size, extra, place, part = (x[order] for x in (token, one, size, extra, place, part))
+        edge = np.searchsorted(part, np.arange(ranges + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(edge)):
+            own = slice(edge[k], edge[k + 1])
+            if rule.adaptive:
+                # What belongs to a record goes once for all its tokens here.
+                head = np.flatnonzero(np.append(True, one[own][1:] != one[own][:-1]))
+                counts = np.diff(np.append(head, edge[k + 1] - edge[k])).astype(np.uint32)
+                rest = (one[own][head], counts, size[own][head], extra[own][head].astype(np.uint8))
+            else:
+                rest = (one[own], least_bytes(place[own]), least_bytes(size[own]), extra[own])
+            rows.append((int(k), token[own].astype(np.uint32).tobytes(), *(x.tobytes() for x in rest)))
+        rid, line, first, second, count = (np.concatenate(x) for x in zip(*records))
+        rows.append((-1 - int(rid[0]) % ranges, first.tobytes(), second.tobytes(), rid.astype(np.int64).tobytes(), line.astype(np.int32).tobytes(), count.astype(np.int32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(6)], list("kabcde"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, raw = flat(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            parts, records = [], []
+            parts, records, held = [], [], 0
             for low, high in blocks(at):
+                if held > RANGE_POSTINGS:
+                    yield packed(parts, records)
+                    parts, records, held = [], [], 0
                 tokens, bounds, row, line = record_tokens(at, raw, low, high, rule)
                 filled = np.diff(bounds) > 0
                 bounds, row, line = np.append(bounds[:-1][filled], bounds[-1]), row[filled], line[filled]
@@ -202,94 +242,112 @@ def packed_postings(rule: Rule, classes, ranges: int):
                 record = np.repeat(np.arange(len(size)), length)
                 place = np.arange(len(record)) - np.repeat(np.concatenate([[0], np.cumsum(length)[:-1]]), length)
                 prefix = mix(key[edge[:-1][record] + place] & _LOW)
-                parts.append((prefix, one[record], size[record].astype(np.int32), (asked[record] if rule.adaptive else place).astype(np.int32)))
-            if not records:
-                continue
-            token, one, size, extra = (np.concatenate(x) for x in zip(*parts))
-            part = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-            order = np.lexsort((one, part))
-            token, one, size, extra, part = (x[order] for x in (token, one, size, extra, part))
-            edge = np.searchsorted(part, np.arange(ranges + 1))
-            rows = []
-            for k in np.flatnonzero(np.diff(edge)):
-                own = slice(edge[k], edge[k + 1])
-                head = np.flatnonzero(np.append(True, one[own][1:] != one[own][:-1]))
-                counts = np.diff(np.append(head, edge[k + 1] - edge[k])).astype(np.uint32)
-                rest = (size[own][head], extra[own][head]) if rule.adaptive else (size[own][head], extra[own])
-                rows.append((int(k), token[own].astype(np.uint32).tobytes(), one[own][head].tobytes(), counts.tobytes(), rest[0].tobytes(), rest[1].astype(np.uint8 if rule.adaptive else np.int32).tobytes(), None))
-            rid, line, first, second, count = (np.concatenate(x) for x in zip(*records))
-            rows.append((-1 - int(rid[0]) % ranges, first.tobytes(), second.tobytes(), rid.astype(np.int64).tobytes(), line.astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if not i else pa.binary()) for i in range(6)], list("kabcde"))
+                last = asked if rule.adaptive else np.zeros(len(size), np.uint64)
+                parts.append((prefix, one[record], size[record].astype(np.int32), last[record], place.astype(np.int32)))
+                held += len(record)
+            if records:
+                yield packed(parts, records)
 
     return run
 
 
-def list_pairs(token: np.ndarray, record: np.ndarray, size: np.ndarray, extra: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs that share a token and pass the length (and the positional) filter; by token, and by size within it."""
+def list_pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray | None, bits: np.ndarray | None, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs that share a token and pass the filters; sorted by token, and by size within it.
+
+    Length: the lesser set has at least the threshold's share of the greater one's size.
+    Where prefixes ask for one match, also position: from the shared token on, the shorter
+    rest must have what the overlap needs, for before its first shared token a pair has
+    none; and parity: bits that differ bound the overlap from above.
+    """
     head = np.append(True, token[1:] != token[:-1])
     start = np.flatnonzero(head)
     end = np.repeat(np.append(start[1:], len(token)), np.diff(np.append(start, len(token))))
+    must = needed(size, rule.threshold)
     here = np.flatnonzero(end - np.arange(len(token)) > 1)
     step = 1
     while len(here):
-        for low in range(0, len(here), 1 << 20):
-            a = here[low : low + (1 << 20)]
+        here = here[must[here + step] <= size[here]]  # sizes rise within a list, so that what is too long once stays so
+        for low in range(0, len(here), 1 << 18):
+            a = here[low : low + (1 << 18)]
             b = a + step
-            fit = needed(size[b], rule.threshold) <= size[a]  # sizes rise within a list
-            if not rule.adaptive:
+            if place is not None:
                 least = np.ceil((size[a] + size[b]) * (rule.threshold / (1 + rule.threshold)) - 1e-9)
-                fit &= 1 + np.minimum(size[a] - extra[a], size[b] - extra[b]) - 1 >= least
-            yield a[fit], b[fit]
+                fit = np.minimum(size[a] - place[a], size[b] - place[b]) >= least
+                a, b = a[fit], b[fit]
+            yield a, b
         here = here[here + step + 1 < end[here]]
         step += 1
-        # Past the first record that is too long for it, a record has no further partner in its list.
-        here = here[needed(size[np.minimum(here + step, len(size) - 1)], rule.threshold) <= size[here]]
-
-
-def join_range(rule: Rule):
-    empty = np.zeros(0, np.int64)
-
-    def gathered(a, b, n, need):
-        order = np.lexsort((b, a))
-        a, b, n, need = a[order], b[order], n[order], need[order]
-        if not len(a):
-            return a, b, n, need
-        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        return a[head], b[head], np.add.reduceat(n, head), need[head]
-
-    def run(table: pa.Table) -> pa.Table:
-        k = table.column("k")[0].as_py()
-        if k < 0:
-            parts = [[np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()] for c, t in zip("abcde", (np.int64, np.int64, np.int64, np.int32, np.int32))]
-            one, two, rid, line, size = (np.concatenate(p) for p in parts)
-            return pa.table({"kind": pa.array(np.zeros(len(one), np.int32)), "a": one, "b": two, "n": pa.array(size.astype(np.int64)), "need": pa.array(line.astype(np.int64)), "doc_id": rid})
-        token, record, size, extra = [], [], [], []
-        for t, o, c, s, e in zip(*(table.column(x).to_pylist() for x in "abcde")):
+
+
+def gathered(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs once each, with the sum of their matches."""
+    order = np.lexsort((b, a))
+    a, b, n, need = a[order], b[order], n[order], need[order]
+    if not len(a):
+        return a, b, n, need
+    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[head], b[head], np.add.reduceat(n, head, dtype=np.int32), need[head]
+
+
+def range_pairs(rows: list[tuple], rule: Rule) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of records that share tokens of one range: (a, b, matches, matches needed), not yet once each."""
+    parts = []
+    for t, o, c, s, e in rows:
+        token, record = np.frombuffer(t, dtype=np.uint32), np.frombuffer(o, dtype=np.int64)
+        if rule.adaptive:
             counts = np.frombuffer(c, dtype=np.uint32)
-            token.append(np.frombuffer(t, dtype=np.uint32))
-            record.append(np.repeat(np.frombuffer(o, dtype=np.int64), counts))
-            size.append(np.repeat(np.frombuffer(s, dtype=np.int32), counts))
-            extra.append(np.repeat(np.frombuffer(e, dtype=np.uint8), counts) if rule.adaptive else np.frombuffer(e, dtype=np.int32))
-        token, record, size, extra = (np.concatenate(x) for x in (token, record, size, extra))
-        order = np.lexsort((extra, record, size, token))
-        token, record, size, extra = token[order], record[order], size[order].astype(np.int64), extra[order].astype(np.int64)
-        fresh = np.append(True, (token[1:] != token[:-1]) | (record[1:] != record[:-1]))
-        token, record, size, extra = (x[fresh] for x in (token, record, size, extra))
-        alone = np.append(False, token[1:] == token[:-1])
-        alone[:-1] |= alone[1:]
-        token, record, size, extra = (x[alone] for x in (token, record, size, extra))
-        done, held, pending = [empty] * 4, [], 0
-        if len(token):
-            for x, y in list_pairs(token, record, size, extra, rule):
-                a, b = record[x], record[y]
-                held.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), np.minimum(extra[x], extra[y]) if rule.adaptive else np.ones(len(a), np.int64)))
-                pending += len(a)
-                if pending > 3_000_000:
-                    done = gathered(*(np.concatenate(p) for p in zip(done, *held)))
-                    held, pending = [], len(done[0]) // 2
-            done = gathered(*(np.concatenate(p) for p in zip(done, *held)))
-        a, b, n, need = done
-        return pa.table({"kind": pa.array(np.ones(len(a), np.int32)), "a": a, "b": b, "n": n, "need": need, "doc_id": pa.nulls(len(a), pa.int64())})
+            parts.append((token, *(np.repeat(x, counts) for x in (record, np.frombuffer(s, dtype=np.int32), np.frombuffer(e, dtype=np.uint8).astype(np.int32)))))
+        else:
+            parts.append((token, record, as_sent(s, len(token)), np.frombuffer(e, dtype=np.uint64), as_sent(c, len(token))))
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    order = np.lexsort((columns[1], columns[2], columns[0]))
+    columns = [x[order] for x in columns]
+    token, record = columns[:2]
+    fresh = np.append(True, (token[1:] != token[:-1]) | (record[1:] != record[:-1]))
+    columns = [x[fresh] for x in columns]
+    token = columns[0]
+    alike = np.append(False, token[1:] == token[:-1])
+    alike[:-1] |= alike[1:]
+    token, record, size, extra, *place = (x[alike] for x in columns)
+    if len(token):
+        for x, y in list_pairs(token, size, place[0] if place else None, extra if place else None, rule):
+            a, b = record[x], record[y]
+            yield np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int32), np.minimum(extra[x], extra[y]) if rule.adaptive else np.ones(len(a), np.int32)
+
+
+def join_ranges(rule: Rule):
+    """Joins the ranges of a partition, one after the other, and sums a pair's matches over them before it goes on."""
+
+    def rows(kind: int, a, b, n, need, ids) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(n), pa.array(need), ids], ["kind", "a", "b", "n", "need", "doc_id"])
+
+    def out(pairs) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(pairs[0]), MOVED_PAIRS):
+            a, b, n, need = (x[low : low + MOVED_PAIRS] for x in pairs)
+            yield rows(1, a, b, n, need, pa.nulls(len(a), pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for k, *parts in zip(*(batch.column(c).to_pylist() for c in "kabcde")):
+                if k < 0:
+                    one, two, rid, line, size = (np.frombuffer(x, dtype=t) for x, t in zip(parts, (np.int64, np.int64, np.int64, np.int32, np.int32)))
+                    yield rows(0, one, two, size, line, pa.array(rid))
+                else:
+                    held.setdefault(k, []).append(parts)
+        done = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        fresh, waiting = [], 0
+        for k in list(held):
+            for pairs in range_pairs(held.pop(k), rule):
+                fresh.append(pairs)
+                waiting += len(pairs[0])
+                if waiting > max(HELD_PAIRS // 2, len(done[0])):
+                    done = gathered(*(np.concatenate(x) for x in zip(done, *fresh)))
+                    fresh, waiting = [], 0
+                    if len(done[0]) > HELD_PAIRS:
+                        yield from out(done)
+                        done = tuple(x[:0] for x in done)
+        yield from out(gathered(*(np.concatenate(x) for x in zip(done, *fresh))))
 
     return run
 
@@ -302,8 +360,8 @@ def candidates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     postings = total * (1 - rule.threshold) * (1.1 if rule.unit == "doc" else 1.5) + 1
     ranges = int(max(8, np.ceil(postings / RANGE_POSTINGS)))
     packed = docs.mapInArrow(packed_postings(rule, docs.sparkSession.sparkContext.broadcast(classes), ranges), "k int, a binary, b binary, c binary, d binary, e binary")
-    found = scratch.written(packed.groupBy("k").applyInArrow(join_range(rule), "kind int, a long, b long, n long, need long, doc_id long"), "joined")
-    records = found.where("kind = 0").select("doc_id", F.col("need").cast("int").alias("line"), F.col("a").alias("one"), F.col("b").alias("two"), F.col("n").alias("size"))
+    found = scratch.written(packed.repartition("k").mapInArrow(join_ranges(rule), "kind byte, a long, b long, n int, need int, doc_id long"), "joined")
+    records = found.where("kind = 0").select("doc_id", F.col("need").alias("line"), F.col("a").alias("one"), F.col("b").alias("two"), F.col("n").alias("size"))
     pairs = found.where("kind = 1").select("a", "b", "n", "need")
     if rule.adaptive:
         pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
