@@ -188,6 +188,13 @@ def matches_asked(key: np.ndarray, bounds: np.ndarray, size: np.ndarray, rule: R
     return best
 
 
+def parities(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 bits for each set, each the parity of how many of its tokens hash to it. Bits that differ are tokens that only one of two sets has, at least."""
+    flips = np.zeros(len(key) + 1, dtype=np.uint64)
+    np.bitwise_xor.accumulate(np.uint64(1) << (mix(key & _LOW) & np.uint64(63)), out=flips[1:])
+    return flips[bounds[1:]] ^ flips[bounds[:-1]]
+
+
 def least_bytes(x: np.ndarray) -> np.ndarray:
     """The same numbers, none negative, in as few bytes each as hold them all."""
     return x.astype(np.min_scalar_type(int(x.max())))
@@ -242,7 +249,7 @@ def packed_postings(rule: Rule, classes, ranges: int):
                 record = np.repeat(np.arange(len(size)), length)
                 place = np.arange(len(record)) - np.repeat(np.concatenate([[0], np.cumsum(length)[:-1]]), length)
                 prefix = mix(key[edge[:-1][record] + place] & _LOW)
-                last = asked if rule.adaptive else np.zeros(len(size), np.uint64)
+                last = asked if rule.adaptive else parities(key, edge)
                 parts.append((prefix, one[record], size[record].astype(np.int32), last[record], place.astype(np.int32)))
                 held += len(record)
             if records:
@@ -273,6 +280,8 @@ def list_pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray | None, bi
             if place is not None:
                 least = np.ceil((size[a] + size[b]) * (rule.threshold / (1 + rule.threshold)) - 1e-9)
                 fit = np.minimum(size[a] - place[a], size[b] - place[b]) >= least
+                a, b, least = a[fit], b[fit], least[fit]
+                fit = size[a] + size[b] - np.bitwise_count(bits[a] ^ bits[b]) >= 2 * least
                 a, b = a[fit], b[fit]
             yield a, b
         here = here[here + step + 1 < end[here]]
