@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .setsim import Rule, candidates, verified
+from .setsim import BROADCAST_RECORDS, Rule, candidates, verified
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -68,7 +68,8 @@ def one_of_each(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -
     go together.  All columns are kept.
     """
     gone = groups(near_pairs(docs, n, threshold)).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    small = gone.count() <= BROADCAST_RECORDS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 SQL = f"""
