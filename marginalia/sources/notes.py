@@ -144,6 +144,8 @@ class NotesSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known; its reader takes filters, which Spark refuses unless told otherwise."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NotesSource)
 
 
