@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def name(path: str = "path") -> Column:
+def name_of(path: Column) -> Column:
     """A path's last part without its extension."""
-    last = F.element_at(F.split(F.col(path), "/"), -1)
-    return F.regexp_replace(last, r"(?<=.)\.[^.]*\z", "")
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*\z", "")
+
+
+def name(path: str = "path") -> Column:
+    return name_of(F.col(path))
 
 
 def folder(path: str = "path") -> Column:
@@ -17,13 +20,17 @@ def folder(path: str = "path") -> Column:
 
 
 def head(content: str = "content") -> Column:
+    return head_of(F.col(content))
+
+
+def head_of(content: Column) -> Column:
     """The frontmatter with both its rules and the line end behind it; empty if there is none.
 
     It closes at the first line `---` that ends in a line feed alone, else at the first that
     ends in both, else at one that ends the note; never at the line under the opening one.
     """
     found = [F.regexp_extract(content, r"(?s)\A---\r?\n.*?\n---" + end, 0) for end in (r"\n", r"\r\n", r"\z")]
-    return F.when(~F.col(content).startswith("---"), "").when(found[0] != "", found[0]).when(found[1] != "", found[1]).otherwise(found[2])
+    return F.when(~content.startswith("---"), "").when(found[0] != "", found[0]).when(found[1] != "", found[1]).otherwise(found[2])
 
 
 def raw_of(head: Column) -> Column:

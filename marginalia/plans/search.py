@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -134,49 +134,54 @@ def _matched(text: Column, matcher: Matcher, cased: bool) -> Column | None:
     return text.rlike(("(?dU)" if cased else "(?diuU)") + matcher.value.replace("(?P<", "(?<"))
 
 
-def compiled(rows: DataFrame, query: Query, number: list[int]) -> tuple[DataFrame, str]:
-    """Adds a column of matches for the query and, before it, one for each part: null for an evaluation error, empty for no match.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once.
 
-    Each part is a column of its own, so that no expression is written out twice.  `rows`
-    has __begin and __lines, the body's.
+    Spark copies a column into every place that names it, and a filter that moves below a
+    projection takes such copies of copies along; a lambda's argument is never copied.
     """
+    return F.transform(F.array(value), use)[0]
+
+
+def compiled(query: Query, path: Column, lines: Column) -> Column:
+    """The matches of a native query: null for an evaluation error, empty for no match; lines: those of the body, as content matches."""
     none = F.array().cast(MATCHES)
-    if isinstance(query, (And, Or)):
-        rows, out = compiled(rows, query.children[0], number)
-        for child in query.children[1:]:
-            rows, more = compiled(rows, child, number)
-            a, b = F.col(out), F.col(more)
-            if isinstance(query, And):
-                both = F.when(a.isNull(), None).when(F.size(a) == 0, none).when(b.isNull(), None).when(F.size(b) == 0, none).otherwise(F.concat(a, b))
-            else:
-                both = F.when(a.isNull(), None).when(F.size(a) > 0, a).otherwise(b)
-            number[0] += 1
-            out = f"__m{number[0]}"
-            rows = rows.withColumn(out, both)
-        return rows, out
+    if isinstance(query, (And, Or)) and len(query.children) == 1:
+        return compiled(query.children[0], path, lines)
+    if isinstance(query, And):
+        last = compiled(query.children[-1], path, lines)
+
+        def both(a: Column) -> Column:
+            joined = let(last, lambda b: F.when(b.isNull(), None).when(F.size(b) == 0, none).otherwise(F.concat(a, b)))
+            return F.when(a.isNull(), None).when(F.size(a) == 0, none).otherwise(joined)
+
+        return let(compiled(And(query.children[:-1]), path, lines), both)
+    if isinstance(query, Or):
+        rest = compiled(Or(query.children[1:]), path, lines)
+        return let(compiled(query.children[0], path, lines), lambda a: F.when(a.isNull(), None).when(F.size(a) > 0, a).otherwise(rest))
     if isinstance(query, Not):
-        rows, inner = compiled(rows, query.child, number)
-        inner = F.col(inner)
-        found = F.when(inner.isNull(), None).when(F.size(inner) == 0, F.array(F.struct(F.lit("not").alias("field"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text")))).otherwise(none)
-    elif query.field != "content":
-        text = F.col("path") if query.field == "path" else parts.name()
+        found = F.array(F.struct(F.lit("not").alias("field"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text")))
+        return let(compiled(query.child, path, lines), lambda a: F.when(a.isNull(), None).when(F.size(a) == 0, found).otherwise(none))
+    if query.field != "content":
+        text = path if query.field == "path" else parts.name_of(path)
         hit = _matched(text, query.matcher, True)
-        found = F.lit(None).cast(MATCHES) if hit is None else F.when(hit, F.array(F.struct(F.lit(query.field).alias("field"), F.lit(None).cast("int").alias("line"), text.alias("text")))).otherwise(none)
-    elif _matched(F.col("path"), query.matcher, False) is None:
-        found = F.when(F.size("__lines") > 0, F.lit(None).cast(MATCHES)).otherwise(none)
-    else:
-        found = F.filter("__lines", lambda r: _matched(r["text"], query.matcher, False))
-    number[0] += 1
-    return rows.withColumn(f"__m{number[0]}", found), f"__m{number[0]}"
+        if hit is None:
+            return F.lit(None).cast(MATCHES)
+        return F.when(hit, F.array(F.struct(F.lit(query.field).alias("field"), F.lit(None).cast("int").alias("line"), text.alias("text")))).otherwise(none)
+    if _matched(path, query.matcher, False) is None:
+        return F.when(F.size(lines) > 0, F.lit(None).cast(MATCHES)).otherwise(none)
+    return F.filter(lines, lambda r: _matched(r["text"], query.matcher, False))
+
+
+def body_lines(content: Column) -> Column:
+    """The lines of the body as content matches: (field, line, text)."""
 
+    def rows(head: Column, text: Column) -> Column:
+        line = lambda x, i: F.struct(F.lit("content").alias("field"), (parts.begin_of(head) + i).cast("int").alias("line"), F.regexp_replace(x, r"\r\z", "").alias("text"))
+        whole = lambda cut: F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
+        return F.transform(let(F.split(parts.body_of(head, text), "\n"), whole), line)
 
-def with_lines(rows: DataFrame) -> DataFrame:
-    """Adds __lines, the lines of the body as content matches."""
-    cut = F.split("__body", "\n")
-    rows = parts.parted(rows).withColumn("__cut", cut)
-    whole = F.when(F.element_at("__cut", -1) == "", F.slice("__cut", 1, F.greatest(F.size("__cut") - 1, F.lit(0)))).otherwise(F.col("__cut"))
-    line = lambda x, i: F.struct(F.lit("content").alias("field"), (F.col("__begin") + i).cast("int").alias("line"), F.regexp_replace(x, r"\r\z", "").alias("text"))
-    return rows.withColumn("__lines", F.transform(whole, line))
+    return let(content, lambda text: let(parts.head_of(text), lambda head: rows(head, text)))
 
 
 def prefilter(query: Query) -> Column | None:
@@ -219,8 +224,8 @@ def search(notes: DataFrame, query: Query | str, limit: int | None = None) -> Da
     if first is not None:
         rows = rows.where(first)
     if _native(query):
-        found, out = compiled(with_lines(rows), query, [0])
-        found = found.select("path", F.coalesce(out, F.array().cast(MATCHES)).alias("matches"))
+        matched = let(body_lines(F.col("content")), lambda lines: compiled(query, F.col("path"), lines))
+        found = rows.select("path", F.coalesce(matched, F.array().cast(MATCHES)).alias("matches"))
     else:
         schema = T._parse_datatype_string(f"path string, matches {MATCHES}")
         kind = pa.list_(pa.struct([("field", pa.string()), ("line", pa.int32()), ("text", pa.string())]))
