@@ -243,8 +243,8 @@ _lint("invalid-frontmatter", "SELECT 'invalid-frontmatter' AS rule, path, 1 AS l
 _lint("unresolved-aliases", r"SELECT 'unresolved-aliases' AS rule, path, CAST(NULL AS BIGINT) AS line, lower(regexp_extract(yaml, 'aliases:\n  - (.*)\n', 1)) AS detail FROM ok WHERE lower(regexp_extract(yaml, 'aliases:\n  - (.*)\n', 1)) IN (SELECT lower(regexp_extract(path, '([^/]+)[.]md$', 1)) FROM notes)", _LINES)
 query("h15_broken_links", f"SELECT frm AS source, target, line FROM eg WHERE to_path IS NULL AND NOT {_MEDIA}", _EDGES)(lambda v: graph.broken_links(v.edges).select(F.col("from").alias("source"), "target", "line"))
 query("h16_replace_regex", r"SELECT path, regexp_replace(content, 'Doc (\d+)', 'Note \1', 'g') AS content FROM notes")(lambda v: v.notes.select("path", F.regexp_replace("content", r"Doc (\d+)", "Note $1").alias("content")))
-query("h17_rename_with_links", r"SELECT CASE WHEN path LIKE '%/Doc 10.md' THEN 'archive/Old 10.md' ELSE path END AS path, regexp_replace(content, '\[\[Doc 10([\]|#])', '[[Old 10\1', 'g') AS content FROM notes WHERE NOT regexp_matches(content, 'related: .\[\[Doc 10\]')")(
-    lambda v: rewrite.rename_with_links(v.notes, v.edges, v.notes.where("path LIKE '%/Doc 10.md'").select("path", F.lit("archive/Old 10.md").alias("new_path"))).where(~F.contains("content", F.lit('related: "[[Old 10]')))
+query("h17_rename_with_links", r"SELECT CASE WHEN path LIKE '%/Doc 10.md' THEN 'archive/Old 10.md' ELSE path END AS path, regexp_replace(content, '\[\[Doc 10([\]|#])', '[[Old 10\1', 'g') AS content FROM notes")(
+    lambda v: rewrite.rename_with_links(v.notes, v.edges, v.notes.where("path LIKE '%/Doc 10.md'").select("path", F.lit("archive/Old 10.md").alias("new_path")))
 )
 query("h19_cypher", "SELECT 'node' AS kind, 'CREATE (:Note {path: ''' || path || ''', name: ''' || regexp_extract(path, '([^/]+)[.]md$', 1) || '''})' AS statement FROM notes UNION ALL SELECT 'edge', 'MATCH (a:Note {path: ''' || frm || '''}), (b:Note {path: ''' || to_path || '''}) CREATE (a)-[:LINKS_TO {context: ''' || context || '''}]->(b)' FROM eg WHERE to_path IS NOT NULL", _EDGES)(lambda v: graph.cypher(v.notes, v.edges))
 query("h19_json_ld")(lambda v: graph.json_ld(v.notes, v.edges))
