@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from . import scratch
 
 THRESHOLD, RECALL, SEED = 0.95, 0.98, 11
-#: Vectors that train the codebooks at most, and of them those that set the number of cells to visit.
+#: Vectors that train the codebooks at least, if there are as many, and vectors that set the number of cells to visit.
 TRAINING, CALIBRATION = 20_000, 1_000
+#: Vectors that train a word of a large codebook, and bytes of float32 that the driver samples for it at most.
+PER_WORD, SAMPLE_BYTES = 64, 128 << 20
 #: Vectors of an average cell, words of a codebook at most, and vectors that meet in one task.
 CELL, LARGEST_BOOK, MEET = 32, 4096, 40_000
 
@@ -41,14 +43,15 @@ def distances(x: np.ndarray, book: np.ndarray) -> np.ndarray:
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     """k-means by Lloyd's rounds; a word that loses all its vectors moves to the vector that is farthest from its own."""
     book = x[rng.choice(len(x), min(k, len(x)), replace=False)].astype(np.float64)
+    step = max(1, (1 << 23) // len(book))
     for _ in range(rounds):
-        d = distances(x, book)
-        own = d.argmin(1)
+        parts = (distances(x[low : low + step], book) for low in range(0, len(x), step))
+        own, d = (np.concatenate(c) for c in zip(*((p.argmin(1), p.min(1)) for p in parts)))
         total = np.zeros_like(book)
         np.add.at(total, own, x)
         n = np.bincount(own, minlength=len(book))
         book = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], book)
-        far = np.argsort(-d[np.arange(len(x)), own])[: int((n == 0).sum())]
+        far = np.argsort(-d)[: int((n == 0).sum())]
         book[np.flatnonzero(n == 0)[: len(far)]] = x[far]
     return book.astype(np.float32)
 
@@ -87,18 +90,44 @@ class MultiIndex:
         return np.take_along_axis(sort_a[:, i], first, 1), np.take_along_axis(sort_b[:, j], first, 1)
 
 
+def words_of(total: int) -> int:
+    """Words of a codebook for `total` vectors."""
+    return int(np.clip(np.ceil(np.sqrt(total / CELL)), 1, LARGEST_BOOK))
+
+
+def sampled(rows: DataFrame, dim: int, total: int, training: int) -> np.ndarray:
+    """Unit vectors for the codebooks: at least `training` and PER_WORD for each word, as far as SAMPLE_BYTES go, and those to calibrate with."""
+    wanted = max(training, min(PER_WORD * words_of(total), SAMPLE_BYTES // (4 * dim))) + CALIBRATION
+    own = rows.where(F.size("embedding") == dim)
+    if wanted * 4 < total:
+        # Else each partition would send `wanted` vectors to one task.
+        share = F.xxhash64("vec_id") < int(-(2**63) + 2**64 * (2 * wanted / total))
+        own = own.where(share) if own.where(share).limit(wanted).count() == wanted else own
+    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("embedding").toArrow()
+    parts = [unit(chunk, dim)[0] for chunk in sample.column("embedding").chunks]
+    return np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
+
+
 def build(sample: np.ndarray, total: int, threshold: float, recall: float, seed: int = SEED) -> MultiIndex:
     """Codebooks for `total` vectors like the sample's, and how many cells to visit for the recall.
 
     A vector exactly at the threshold from a sampled one, in a random direction, is the
     hardest partner to find.  The cells are counted that come no later than its cell, and the
     quantile of those counts at `recall` is how many every query visits.
+
+    Vectors lie nearer to words that they trained than others do.  Where the sample isn't the
+    whole table, those that are counted with are therefore kept out of the training.
     """
     rng = np.random.default_rng(seed)
-    k = int(np.clip(np.ceil(np.sqrt(total / CELL)), 1, min(LARGEST_BOOK, len(sample))))
     half = sample.shape[1] // 2
-    index = MultiIndex(codebook(sample[:, :half], k, rng), codebook(sample[:, half:], k, rng), 1)
-    x = sample[rng.choice(len(sample), min(CALIBRATION, len(sample)), replace=False)].astype(np.float64)
+    train, held = sample, None
+    if 1 < len(sample) < total:
+        order = rng.permutation(len(sample))
+        cut = min(CALIBRATION, len(sample) // 2)
+        train, held = sample[np.sort(order[cut:])], sample[order[:cut]]
+    k = min(words_of(total), len(train))
+    index = MultiIndex(codebook(train[:, :half], k, rng), codebook(train[:, half:], k, rng), 1)
+    x = (held if held is not None else sample[rng.choice(len(sample), min(CALIBRATION, len(sample)), replace=False)]).astype(np.float64)
     u = rng.normal(size=x.shape)
     u -= (u * x).sum(1)[:, None] * x
     u /= np.maximum(np.sqrt((u * u).sum(1)), 1e-12)[:, None]
@@ -207,8 +236,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     if sizes is None or sizes[0] < 2:
         return spark.createDataFrame([], out)
     dim, total = int(sizes[0]), int(sizes[1])
-    sample = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(training).select("embedding").toArrow()
-    x, _ = unit(sample.column("embedding").combine_chunks() if len(sample) else pa.array([], pa.list_(pa.float32())), dim)
+    x = sampled(rows, dim, total, training)
     if not len(x):
         return spark.createDataFrame([], out)
     index = build(x, total, threshold, recall)

@@ -48,3 +48,35 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, dup_of int, part string")
     assert [(r.vec_id, r.dup_of) for r in V.near_vectors(df).collect()] == [(2, 1)]
     assert V.near_vectors(df.limit(0)).count() == 0
+
+
+def met_share(index, x, threshold, rng):
+    """The share of partners exactly at the threshold that live in a cell which their vectors visit."""
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1)[:, None] * x
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    i, j = index.home(threshold * x + np.sqrt(1 - threshold**2) * u)
+    a, b = index.nearest(x)
+    return ((a == i[:, None]) & (b == j[:, None])).any(1).mean()
+
+
+def test_vectors_outside_the_sample_reach_the_recall():
+    rng = np.random.default_rng(5)
+    for spread in (None, 0.5):
+        centre = rng.normal(size=(300, 32))
+        draw = lambda n: rng.normal(size=(n, 32)) if spread is None else centre[rng.integers(300, size=n)] + spread * rng.normal(size=(n, 32))  # noqa: E731, B023
+        x = draw(7000)
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        index = V.build(x[:3000].astype(np.float32), 5_000_000, 0.95, 0.98)
+        assert met_share(index, x[3000:], 0.95, rng) > 0.965
+
+
+def test_the_sample_grows_with_the_codebooks(spark, monkeypatch):
+    monkeypatch.setattr(V, "CELL", 1)
+    monkeypatch.setattr(V, "CALIBRATION", 100)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2500, 4)))], "vec_id long, embedding array<float>")
+    assert len(V.sampled(df, 4, 2500, 10)) == 2500
+    monkeypatch.setattr(V, "PER_WORD", 4)
+    assert len(V.sampled(df, 4, 2500, 10)) == 300
+    assert len(V.sampled(df.selectExpr("7L as vec_id", "embedding"), 4, 2500, 10)) == 300
