@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
-from .text import blocks, flat, mix, words
+from . import licence_texts, scratch
+from .text import _SPACE, blocks, flat, mix, shingles, words
 
 #: Short notices as authors put them at the head or the end of files, written for this table.
 TEMPLATES = {
@@ -28,6 +28,11 @@ TEMPLATES = {
     "Proprietary": ["Copyright, all rights reserved.", "All rights reserved. No part of this work may be copied without permission."],
 }
 LEAST = 0.6
+#: Short notices that hold for whole lines as they stand; without case and punctuation they count only where they are wrapped.
+AS_THEY_STAND = "Proprietary"
+#: ASCII letters made small, and of other ASCII bytes only digits kept, so that the marks of comments fall away as well.
+_PLAIN = np.array([b if b >= 128 or chr(b).isalnum() and not chr(b).isupper() else ord(chr(b).lower()) if chr(b).isupper() else 32 for b in range(256)], np.uint8)
+_MARK = np.isin(np.arange(256), list(b"#/*;%!<-"))
 #: Licences of directories that are broadcast.
 BROADCAST_DIRECTORIES = 200_000
 
@@ -83,13 +88,94 @@ def scores(at: np.ndarray, raw: np.ndarray, low: int, high: int, model: tuple) -
     return np.searchsorted(cuts, begins[lines], side="right") - 1 + low, best, cosine[np.arange(len(lines)), best]
 
 
+def pairs_of_words(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every two words that follow each other in each part, and which part each is of."""
+    terms, at = shingles(hashes, bounds, 2)
+    return terms, np.repeat(np.arange(len(bounds) - 1), np.diff(at))
+
+
+def text_weights(templates: dict[str, list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+    """As weights, over pairs of words without case and punctuation; the frequencies apart, and which templates count only for several lines."""
+    short = {n: TEMPLATES.get(n, []) + templates.get(n, []) for n in {*TEMPLATES, *templates}}
+    names = [n for n in sorted(short) for _ in short[n]]
+    at, raw = flat(pa.array([t for n in sorted(short) for t in short[n]], pa.large_string()))
+    starts, _, hashes = words(_PLAIN[raw], at)
+    terms, row = pairs_of_words(hashes, np.searchsorted(starts, at))
+    known = np.unique(terms)
+    tf = np.zeros((len(names), len(known)))
+    np.add.at(tf, (row, np.searchsorted(known, terms)), 1)
+    idf = np.log((1 + len(names)) / (1 + (tf > 0).sum(0))) + 1
+    table = tf * idf
+    return names, known, table / np.sqrt((table**2).sum(1))[:, None], idf, math.log(1 + len(names)) + 1, np.array([n == AS_THEY_STAND for n in names])
+
+
+def part_scores(hashes: np.ndarray, bounds: np.ndarray, several: np.ndarray, model: tuple, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each part of the words that reaches `least`: which it is, its best template, and the cosine."""
+    _, known, table, idf, other, wrapped = model
+    terms, part = pairs_of_words(hashes, bounds)
+    slot = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    hit = known[slot] == terms
+    pair, tf = np.unique(part[hit] * len(known) + slot[hit], return_counts=True)
+    inside = np.bincount(pair // len(known), (tf * idf[pair % len(known)]) ** 2, minlength=len(several))
+    outside = np.bincount(part[~hit], minlength=len(several)) * other**2  # each unknown term has this much of the norm at least
+    live = (inside > 0) & (inside >= least**2 * (inside + outside) * (1 - 1e-9))
+    lost = ~hit & live[part]
+    order = np.lexsort((terms[lost], part[lost]))
+    where, what = part[lost][order], terms[lost][order]
+    head = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (what[1:] != what[:-1]))) if len(where) else np.zeros(0, np.int64)
+    outside = np.bincount(where[head], (np.diff(np.append(head, len(where))) * other) ** 2, minlength=len(several))
+    own, tf = pair[live[pair // len(known)]], tf[live[pair // len(known)]]
+    parts, index = np.unique(own // len(known), return_inverse=True)
+    dots = np.zeros((len(parts), len(table)))
+    np.add.at(dots, index, (tf * idf[own % len(known)])[:, None] * table[:, own % len(known)].T)
+    cosine = dots / np.sqrt(inside + outside)[parts, None]
+    cosine[np.ix_(~several[parts], wrapped)] = 0
+    best = cosine.argmax(1) if len(parts) else np.zeros(0, np.int64)
+    value = cosine[np.arange(len(parts)), best]
+    good = value >= least
+    return parts[good], best[good], np.minimum(value[good], 1.0)
+
+
+def whole_scores(at: np.ndarray, raw: np.ndarray, low: int, high: int, model: tuple, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As scores, for paragraphs, for headers (lines with a comment's mark, one after the other) and for whole texts."""
+    data, cuts = raw[at[low] : at[high]], at[low : high + 1] - at[low]
+    starts, _, hashes = words(_PLAIN[data], cuts)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    ends = np.flatnonzero(data == 10) + 1
+    begins = np.union1d(cuts[:-1][np.diff(cuts) > 0], ends[ends < len(data)])
+    first = np.flatnonzero(~_SPACE[data])
+    lead = first[np.minimum(np.searchsorted(first, begins), len(first) - 1)]
+    marked = _MARK[data[lead]] & (lead >= begins) & (lead < np.append(begins[1:], len(data)))
+    row = np.searchsorted(cuts, begins, side="right") - 1
+    line = np.searchsorted(begins, starts, side="right") - 1
+    worded = np.bincount(line, minlength=len(begins)) > 0
+    found = []
+    for inside, kind in ((worded, marked), (marked, marked), (np.ones(len(begins), bool), np.zeros(len(begins), bool))):
+        # A part goes on where a line follows one of its row and its kind that are both inside.
+        goes_on = np.append(False, inside[1:] & inside[:-1] & (kind[1:] == kind[:-1]) & (row[1:] == row[:-1]))
+        part = np.cumsum(~goes_on) - 1
+        of, used = part[line], inside[line]
+        own, bounds = np.unique(of[used], return_index=True)
+        if not len(own):
+            continue
+        several = np.bincount(part[worded], minlength=part[-1] + 1)[own] > 1
+        got, best, value = part_scores(hashes[used], np.append(bounds, used.sum()), several, model, least)
+        head = np.flatnonzero(~goes_on)
+        found.append((row[head[own[got]]] + low, best, value))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def own_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """`files` (path, text, doc_id) with the licence that a line of the text names, and its cosine; both null where no line reaches `least`.
+    """`files` (path, text, doc_id) with the licence that the text names, and its cosine; both null where nothing in it reaches `least`.
 
-    Every line of every text is held against every template; the greatest cosine counts,
-    and of equal ones the first in the order of templates.
+    Every line of every text is held against every template, word by word as it stands.
+    Paragraphs, headers in comments and the whole text are held against these, headers and
+    whole licences (licence_texts), by pairs of words without case and punctuation.  The
+    greatest cosine counts; of equal ones a line's, then the first in the order of templates.
     """
     model = weights(templates)
+    shared = files.sparkSession.sparkContext.broadcast(text_weights(licence_texts.texts()))
     if least < 0.3:
         raise ValueError("lines of which templates' words make less than 0.3 of the weight aren't compared")
 
@@ -105,7 +191,14 @@ def own_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                 first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
                 good = first[value[first] >= least]
                 best[row[good]], cosine[row[good]] = template[good], value[good]
-            names = pa.array([model[0][b] if b >= 0 else None for b in best], pa.string())
+                row, template, value = whole_scores(at, raw, low, high, shared.value, least)
+                order = np.lexsort((template, -np.round(value, 12), row))
+                row, template, value = row[order], template[order], value[order]
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+                more = first[np.round(value[first], 12) > np.round(cosine[row[first]], 12)]
+                best[row[more]], cosine[row[more]] = len(model[0]) + template[more], value[more]
+            every = model[0] + shared.value[0]
+            names = pa.array([every[b] if b >= 0 else None for b in best], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), names, pa.array(cosine, mask=best < 0)], ["doc_id", "path", "licence", "cosine"])
 
     return files.select("doc_id", "path", "text").mapInArrow(run, "doc_id long, path string, licence string, cosine double")

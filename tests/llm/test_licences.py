@@ -60,3 +60,41 @@ def test_nearest_directory_gives_its_licence(spark):
 def test_no_licence_at_all(spark):
     rows = [(1, "a/x", "code", None, None)]
     assert [(r.effective, r.from_dir) for r in L.licences(spark.createDataFrame(rows, SCHEMA)).collect()] == [(None, None)]
+
+
+GNU = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+ */
+int main() { return 0; }
+"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at https://mozilla.org/MPL/2.0/.
+import os
+"""
+
+
+def test_headers_and_whole_texts_are_compared_as_a_whole(spark):
+    texts = L.licence_texts.texts()
+    whole = [(n, t[-1]) for n, t in texts.items() if len(t[-1]) > 700 and n not in ("CC-BY-4.0", "CC-BY-NC-4.0", "AGPL-3.0")]
+    assert len(whole) >= 10
+    grant = texts["MIT"][0]
+    cases = [
+        *((n, t.replace("Copyright (c)", "Copyright (c) 2031 Some Body")) for n, t in whole),
+        *((n, "\n".join(f"// {x}" for x in t.split("\n")) + "\nint x;\n") for n, t in whole if len(t) < 3000),
+        ("LGPL-2.1", GNU), ("MPL-2.0", MPL), ("MIT", grant), ("MIT", "RELEASED UNDER THE MIT LICENSE"),
+        ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n" + texts["GPL-3.0"][-1].split("\n", 3)[3]),
+        ("AGPL-3.0", "This work is licensed under the GNU Affero\nGeneral Public License, version 3."),
+        ("LGPL-3.0", "This library is licensed under the GNU Lesser General\nPublic License, version 3."),
+        ("Proprietary", "All rights reserved. No part of this work\nmay be copied without permission."),
+        (None, "All of the work is under the license of the author, and it was in the hope that the terms of use are to be of any use to you."),
+    ]
+    got = {r.doc_id: (r.licence, r.cosine) for r in L.own_licences(spark.createDataFrame([(i, "x", t, "", "") for i, (_, t) in enumerate(cases)], SCHEMA)).collect()}
+    assert [(i, n, got[i]) for i, (n, _) in enumerate(cases) if got[i][0] != n] == []
