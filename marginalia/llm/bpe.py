@@ -200,25 +200,41 @@ class Words(dict):
         return number
 
 
+class Encoder:
+    """Cuts texts into words and encodes each word once, as long as it is remembered."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary, self.cut = vocabulary, regex.compile(pattern).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen = Words()
+        self.ids, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The numbers of each text's words, which index begin and count; good until the next call."""
+        if len(self.seen) > REMEMBERED:
+            self.forget()
+        seen = self.seen
+        rows = [np.fromiter(map(seen.__getitem__, self.cut(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        if seen.fresh:
+            more, number = self.vocabulary.encode_words([w.encode() for w in seen.fresh])
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.concatenate([[0], np.cumsum(number)[:-1]])])
+            self.ids, self.count = np.concatenate([self.ids, more]), np.concatenate([self.count, number])
+            seen.fresh = []
+        return rows
+
+
 def encoder(shared, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
-        cut = regex.compile(pattern).findall
-        seen = Words()
-        ids, begin, count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words = Encoder(vocabulary, pattern)
         for batch in batches:
             texts, docs = batch.column("text"), batch.column("doc_id")
             at, raw = flat(texts)
             for low, high in blocks(at, BATCH_BYTES):
-                if len(seen) > REMEMBERED:
-                    seen = Words()
-                    ids, begin, count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                rows = [np.fromiter(map(seen.__getitem__, cut(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts.slice(low, high - low).to_pylist()]
-                if seen.fresh:
-                    more, number = vocabulary.encode_words([w.encode() for w in seen.fresh])
-                    begin = np.concatenate([begin, len(ids) + np.concatenate([[0], np.cumsum(number)[:-1]])])
-                    ids, count = np.concatenate([ids, more]), np.concatenate([count, number])
-                    seen.fresh = []
+                rows = words.rows(texts.slice(low, high - low).to_pylist())
+                ids, begin, count = words.ids, words.begin, words.count
                 word = np.concatenate(rows)
                 out = gather(ids, begin[word], count[word])
                 ends = np.concatenate([[0], np.cumsum(count[word])])[np.cumsum([0] + [len(r) for r in rows])]

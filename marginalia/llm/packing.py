@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import bpe, scratch
 from .text import blocks, flat, words
 
 #: Pieces that are packed together; groups are by hash of doc_id, so that they don't depend on order or partitioning.
@@ -20,7 +20,7 @@ GROUP_PIECES = 4096
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence holds: tokens, pieces, and attention cost, the sum of the pieces' squared lengths.
+    """What one sequence holds: tokens of the byte-level BPE, pieces, and attention cost, the sum of the pieces' squared lengths in tokens.
 
     score: 'norm' puts a piece where the weighted norm of what stays free is least, 'dot'
     where the weighted product of its demands and what is free is greatest; both look only
@@ -75,46 +75,74 @@ def best_fit(length: np.ndarray, capacity: Capacity) -> np.ndarray:
     return chosen
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, raw = flat(batch.column("text"))
-        n = [np.diff(np.searchsorted(words(raw[at[a] : at[b]], at[a : b + 1] - at[a])[0], at[a : b + 1] - at[a])) for a, b in blocks(at)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(n) if n else np.zeros(0), pa.int64())], ["doc_id", "n"])
-
-
-def packed(docs: DataFrame, capacity: Capacity = Capacity(), group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Where each piece of each document goes: (doc_id, piece, first_token, n_tokens, sequence, place).
-
-    Tokens are words, maximal runs of other than ASCII white space.  A document longer than
-    capacity.piece is cut into pieces of that length and a last one of the rest, so that
-    every token has exactly one place.  Pieces meet by group, a hash of doc_id, sorted by
-    falling length and then by doc_id and piece; `sequence` names the group and the
-    sequence in it, `place` the order within the sequence.
+def counted(shared, longest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: bpe.Vocabulary = shared.value
+        encoder = bpe.Encoder(vocabulary, bpe.PATTERN)
+        for batch in batches:
+            texts = batch.column("text")
+            at, raw = flat(texts)
+            for low, high in blocks(at, bpe.BATCH_BYTES):
+                cuts = at[low : high + 1] - at[low]
+                starts, _, _ = words(raw[at[low] : at[high]], cuts)
+                bounds = np.searchsorted(starts, cuts)
+                rows = encoder.rows(texts.slice(low, high - low).to_pylist())
+                row, first, n_ids, first_word = [], [], [], []
+                for r, word in enumerate(rows):
+                    n = int(encoder.count[word].sum())
+                    if bounds[r] == bounds[r + 1]:
+                        continue
+                    step = np.arange(0, n, longest)
+                    into = np.zeros(1, np.int64)
+                    if len(step) > 1:
+                        # A word belongs to the piece in which its first byte lies.
+                        ids = bpe.gather(encoder.ids, encoder.begin[word], encoder.count[word])
+                        into = np.concatenate([[0], np.cumsum(vocabulary.length[ids])])[step]
+                    row.append(np.full(len(step), r))
+                    first.append(step)
+                    n_ids.append(np.minimum(longest, n - step))
+                    first_word.append(np.searchsorted(starts[bounds[r] : bounds[r + 1]], cuts[r] + into))
+                if not row:
+                    continue
+                row, first, n_ids, first_word = (np.concatenate(c) for c in (row, first, n_ids, first_word))
+                last = np.append(row[1:] != row[:-1], True)
+                n_words = np.where(last, np.diff(bounds)[row], np.append(first_word[1:], 0)) - first_word
+                columns = [pa.array(c, pa.int64()) for c in (first // longest, first, n_ids, first_word, n_words)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low).take(pa.array(row)), *columns], ["doc_id", "piece", "first_id", "n_ids", "first_token", "n_tokens"])
+
+    return run
+
+
+def packed(docs: DataFrame, capacity: Capacity = Capacity(), group_pieces: int = GROUP_PIECES, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """Where each piece of each document goes: (doc_id, piece, first_token, n_tokens, first_id, n_ids, sequence, place).
+
+    Capacities hold in ids, the tokens of bpe.encoded for the whole text; first_id and n_ids
+    are a piece's range of them.  A document of more than capacity.piece ids is cut into
+    pieces of that length and a last one of the rest, wherever that falls, so that every id
+    has exactly one place.  first_token and n_tokens count words, maximal runs of other than
+    ASCII white space: those that begin in the piece, which may be none.
+
+    Pieces meet by group, a hash of doc_id, sorted by falling n_ids and then by doc_id and
+    piece; `sequence` names the group and the sequence in it, `place` the order within the
+    sequence.
 
     Rows with a null doc_id are packed like others.  Texts that are null or have no word
     have nothing to pack and no row.  Repeated rows are packed once for each.  Other columns
     are ignored; an empty table gives no rows.
     """
-    sizes = scratch.written(docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, n long").where("n > 0"), "lengths")
-    longest = capacity.piece
-    total = sizes.agg(F.sum(F.ceil(F.col("n") / longest))).first()[0] or 0
-    groups = int(max(1, -(-total // group_pieces)))
-    cut = sizes.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0), ((F.col("n") - 1) / longest).cast("long"))).alias("piece", "step"))
-    pieces = cut.select(
-        "doc_id",
-        "piece",
-        (F.col("step") * longest).alias("first_token"),
-        F.least(F.lit(longest), F.col("n") - F.col("step") * longest).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("group"),
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(bpe.Vocabulary(bpe.read_ranks(vocabulary)))
+    schema = "doc_id long, piece long, first_id long, n_ids long, first_token long, n_tokens long"
+    pieces = scratch.written(docs.select("doc_id", "text").mapInArrow(counted(shared, capacity.piece), schema), "lengths")
+    groups = int(max(1, -(-pieces.count() // group_pieces)))
+    pieces = pieces.withColumn("piece", F.col("piece").cast("int")).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
 
     def place(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        chosen = best_fit(table["n_tokens"].to_numpy(np.int64), capacity)
+        table = table.sort_values(["n_ids", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        chosen = best_fit(table["n_ids"].to_numpy(np.int64), capacity)
         group = f"{int(table['group'].iloc[0]):07d}"
         table["sequence"] = [f"{group}-{b:05d}" for b in chosen]
         table["place"] = table.groupby("sequence").cumcount().astype("int32")
         table["doc_id"] = table["doc_id"].astype("Int64")
-        return table[["doc_id", "piece", "first_token", "n_tokens", "sequence", "place"]]
+        return table[["doc_id", "piece", "first_token", "n_tokens", "first_id", "n_ids", "sequence", "place"]]
 
-    return pieces.groupBy("group").applyInPandas(place, "doc_id long, piece int, first_token long, n_tokens long, sequence string, place int")
+    return pieces.groupBy("group").applyInPandas(place, "doc_id long, piece int, first_token long, n_tokens long, first_id long, n_ids long, sequence string, place int")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from marginalia.llm import bpe
 from marginalia.llm import packing as P
 
 
@@ -48,3 +49,25 @@ def test_every_token_has_one_place_and_no_capacity_is_exceeded(spark):
     assert all(r.first_token == r.piece * c.piece for r in whole.itertuples())
     assert by.t.sum() / (len(by) * c.tokens) > 0.5
     assert P.packed(df.limit(0), c).count() == 0
+
+
+def test_capacities_hold_in_ids_of_the_encoder(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789/+") for _ in range(900))
+    texts = ["Être où ça naïveté; überflüssigerweise! " * 40, long, f"head {long} tail", "日本語テスト🙂" * 60, "word " * 30, " \n ", None, "a"]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    c = P.Capacity(100, 4, 5000)
+    out = P.packed(df, c, group_pieces=16).toPandas()
+    by = out.groupby("sequence").agg(t=("n_ids", "sum"), n=("n_ids", "size"), a=("n_ids", lambda x: (x**2).sum()))
+    assert (by.t <= c.tokens).all() and (by.n <= c.docs).all() and (by.a <= c.attention).all() and (out.n_ids <= c.piece).all()
+    ids = {r.doc_id: r.ids for r in bpe.encoded(df).collect()}
+    table = bpe.Vocabulary(bpe.read_ranks())
+    assert sorted(set(out.doc_id)) == [0, 1, 2, 3, 4, 7] and len(out[out.doc_id == 1]) > 3
+    for i in set(out.doc_id):
+        rows = out[out.doc_id == i].drop_duplicates("piece").sort_values("piece")
+        assert rows.n_ids.sum() == len(ids[i]) and rows.first_id.tolist() == [k * c.piece for k in range(len(rows))]
+        text = texts[i].encode()
+        for r in rows.itertuples():
+            start, end = (len(table.decode(np.array(ids[i][:n], np.int64))) for n in (r.first_id, r.first_id + r.n_ids))
+            heads = [p for p in range(len(text)) if text[p] not in b" \t\n\r\f\v" and (not p or text[p - 1] in b" \t\n\r\f\v")]
+            assert (r.first_token, r.n_tokens) == (sum(p < start for p in heads), sum(start <= p < end for p in heads))
