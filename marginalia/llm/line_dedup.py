@@ -6,75 +6,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .setsim import BROADCAST_RECORDS, CLASS_BITS, Rule, candidates, digests, ordered_sets, record_tokens, verified
-from .text import blocks, flat
+from .setsim import CLASSES, COPIES, Rule, candidates, verified
 
 THRESHOLD = 0.8
+_BLANK = " \t\n\r\x0b\x0c"
+
+
+def late(known: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The later line of each pair, once."""
+    order = np.empty(len(known), np.int64)
+    order[np.lexsort((known[:, 2], known[:, 3], known[:, 1]))] = np.arange(len(known))
+    row = known[np.unique(np.where(order[a] < order[b], b, a))]
+    yield pa.RecordBatch.from_arrays([pa.array(row[:, 1]), pa.array(row[:, 2]), pa.array(row[:, 3].astype(np.int32))], ["doc_id", "mark", "line"])
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Lines (doc_id, line, one) to remove; `one` is the digest of the line's set of words.
+    """Lines to remove, as (doc_id, mark, lines); mark is the hash that tells texts with one doc_id apart.
 
     A line goes if any earlier line, in the order of doc_id and place, has a similarity of
-    at least the threshold with it, whether or not that one goes too.
+    at least the threshold with it, whether or not that one goes too.  Of the lines of one
+    set all but the first go without being compared; the first goes if the set has an
+    earlier one like it.
     """
     rule = Rule("line", 1, threshold, False)
-    records, pairs = candidates(docs, rule)
-    firsts = scratch.written(records.groupBy("one", "two").agg(F.min(F.struct("doc_id", "line")).alias("first")), "firsts")
-    place = firsts.groupBy("one").agg(F.min("first").alias("first"))
-    found = verified(docs, records, pairs, rule)
-    later = (
-        found.join(place.select(F.col("one").alias("a"), F.col("first").alias("at_a")), "a")
-        .join(place.select(F.col("one").alias("b"), F.col("first").alias("at_b")), "b")
-        .select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("one"))
-        .distinct()
-        .withColumn("late", F.lit(True))
-    )
-    judged = firsts.join(later, "one", "left")
-    return records.join(judged, ["one", "two"]).where("late or struct(doc_id, line) > first").select("doc_id", "line", "one").distinct()
-
-
-def without_lines(schema: pa.Schema):
+    found = candidates(docs, rule)
+    firsts = found.records.where(F.col("kind") == CLASSES).select("one", "doc_id", "mark", "line", F.lit(0).alias("weight"))
+    copies = found.records.where(F.col("kind") == COPIES).select("doc_id", "mark", "line")
+    near = verified(docs, found, firsts, rule, late, "doc_id long, mark long, line int")
+    gone = scratch.written(copies.unionByName(near).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines")), "gone")
+    found.discard()
+    return gone
+
+
+def without_lines(schema: pa.Schema, gone: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule, rare = Rule("line", 1, 1.0, False), np.zeros(1 << CLASS_BITS, np.uint8)
         for batch in batches:
-            gone = batch.column("__gone")
-            hit = np.flatnonzero(np.asarray(gone.is_valid()))
-            text = batch.column("text").to_pylist() if len(hit) else None
+            lines = batch.column(gone)
+            hit = np.flatnonzero(np.asarray(lines.is_valid()))
             keep = np.ones(batch.num_rows, dtype=bool)
+            shorter: dict[int, str] = {}
             if len(hit):
-                wanted = gone.to_pylist()
-                at, raw = flat(batch.column("text").take(pa.array(hit)))
-                for low, high in blocks(at):
-                    tokens, bounds, row, line = record_tokens(at, raw, low, high, rule)
-                    filled = np.diff(bounds) > 0
-                    key, edge = ordered_sets(tokens, np.append(bounds[:-1][filled], bounds[-1]), rare)
-                    row, line, one = row[filled].tolist(), line[filled].tolist(), digests(key, edge)[0].tolist()
-                    drop: dict[int, set] = {}
-                    left: dict[int, int] = {}
-                    marks: dict[int, set] = {}
-                    for r, n, o in zip(row, line, one):
-                        if r not in marks:
-                            marks[r] = {(w["line"], w["one"]) for w in wanted[hit[r]]}
-                        if (n, o) in marks[r]:
-                            drop.setdefault(r, set()).add(n)
-                        else:
-                            left[r] = left.get(r, 0) + 1
-                    for r, lines in drop.items():
-                        keep[hit[r]] = left.get(r, 0) > 0
-                        text[hit[r]] = "\n".join(x for i, x in enumerate(text[hit[r]].split("\n")) if i not in lines)
+                taken = pa.array(hit)
+                for r, body, out in zip(hit.tolist(), batch.column("text").take(taken).to_pylist(), lines.take(taken).to_pylist()):
+                    drop = set(out)
+                    text = "\n".join(x for i, x in enumerate(body.split("\n")) if i not in drop)
+                    keep[r] = bool(text.strip(_BLANK))
+                    shorter[r] = text
             columns = []
             for field in schema:
                 column = batch.column(field.name)
-                if len(hit) and field.name == "text":
-                    column = pa.array(text, field.type)
-                elif len(hit) and field.name == "n_chars":
-                    column = pa.array([c if g is None else len(t) for c, g, t in zip(column.to_pylist(), wanted, text)], field.type)
-                columns.append(column.filter(pa.array(keep)))
+                if shorter and field.name == "text":
+                    mask = np.zeros(batch.num_rows, dtype=bool)
+                    mask[hit] = True
+                    column = pa.compute.replace_with_mask(column, pa.array(mask), pa.array(list(shorter.values()), column.type))
+                elif shorter and field.name == "n_chars":
+                    column = pa.array([c if r not in shorter else len(shorter[r]) for r, c in enumerate(column.to_pylist())], field.type)
+                columns.append(column if keep.all() else column.filter(pa.array(keep)))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(schema, columns)]))
 
     return run
@@ -92,14 +84,18 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     it.  Others keep their rows, and n_chars, if there is such a column, follows the text;
     texts that are null, empty or blank stay as they are, and so do rows with a null doc_id.
     Rows that repeat a doc_id and its text are one document, and lose the same lines; with
-    different texts, lines go by doc_id, place and content.  All columns are kept, whatever
-    their names, but for a column "__gone".  An empty table gives an empty table.
+    different texts they are documents of their own, at one place in an order by hash of the
+    text.  All columns are kept, whatever their names.  An empty table gives an empty table.
+
+    Texts move once to be verified and once to be cut, by hash joins on doc_id whatever
+    their size; rows without an id or a text don't move.
     """
-    gone = removed_lines(docs, threshold).groupBy("doc_id").agg(F.collect_list(F.struct("line", "one")).alias("__gone"))
-    gone = scratch.written(gone, "gone")
-    size = gone.agg(F.sum(F.size("__gone"))).first()[0] or 0
-    joined = docs.join(F.broadcast(gone) if size <= BROADCAST_RECORDS else gone, "doc_id", "left").select(*docs.columns, "__gone")
-    return joined.mapInArrow(without_lines(docs.limit(0).toArrow().schema), docs.schema)
+    gone, mark = scratch.free_name(docs, "gone"), scratch.free_name(docs, "mark")
+    named = "doc_id is not null and text is not null"
+    lines = removed_lines(docs, threshold).select(F.col("doc_id"), F.col("mark").alias(mark), F.col("lines").alias(gone))
+    joined = docs.where(named).withColumn(mark, F.xxhash64("text")).join(lines.hint("shuffle_hash"), ["doc_id", mark], "left").select(*docs.columns, gone)
+    cut = joined.mapInArrow(without_lines(docs.limit(0).toArrow().schema, gone), docs.schema)
+    return cut.unionByName(docs.where(f"NOT ({named})"))
 
 
 SQL = f"""

@@ -48,8 +48,8 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate pairs of all documents: word 3-grams, Jaccard similarity of at least 0.5."""
-    return near_docs.near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The near-duplicate class of every document and the number of its links: word 3-grams, Jaccard similarity of at least 0.5."""
+    return near_docs.near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

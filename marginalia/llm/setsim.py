@@ -6,11 +6,14 @@ which those above a floor go into a table of constant size; tokens under the flo
 first, all as rare.  Any such order gives the same pairs, a better one gives fewer
 candidates.
 
-Records with the same set are one record to the join, known by a digest of the set, so
-that copies cost nothing beyond their own postings.  Prefix tokens travel packed, by
-range of token hash, and are joined in numpy; what comes out are pairs of digests that
-pass the filters.  Verification brings the records of a cluster together once, not once
-for every pair, and compares whole sets.
+Records with the same set are one record to the join, known by a 128-bit digest of the
+set, and by half of it on the way.  Prefix tokens travel packed, by range of token hash,
+one range to a task, and are joined in numpy; records travel with them by range of their
+digest, where the first of each set is found.  What comes out are pairs of digests that
+pass the filters.  Verification brings the texts of a cluster together once, not once for
+every pair, and compares whole sets, by 128 bits of hash for each token.
+
+No step broadcasts what grows with the input; each one's partitions follow from counts.
 """
 
 from __future__ import annotations
@@ -24,21 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .text import blocks, flat, mix, shingles, words
+from .text import blocks, distinct, flat, mix, other_hashes, shingles, words
 
 CLASS_BITS = 22
-#: At most so many frequent tokens are told apart; the floor rises until they fit.
+#: At most so many frequent tokens are told apart; the floor rises until they fit. It changes the order and with it the cost, not the result.
 FREQUENT = 1_000_000
 #: Counts under this are never told apart.
 FLOOR = 4
-#: Postings in one range of token hashes, and records whose sets meet in one verification group.
-RANGE_POSTINGS = 600_000
-GROUP_RECORDS = 1_000
+#: Postings that one task joins, postings that a batch gathers before it sends them, and postings' matches asked for at most.
+RANGE_POSTINGS, SENT_POSTINGS, MOST_MATCHES = 3_000_000, 600_000, 8
+#: Tokens that stand for a prefix, so that a pair of near copies goes on from one range only.
+SKETCH = 4
 #: Pairs that a task sums before it passes them on, and pairs in a batch of its output.
-HELD_PAIRS, MOVED_PAIRS = 500_000, 50_000
-#: Records known by broadcast when their texts are fetched; beyond it, by a shuffle join.
-BROADCAST_RECORDS = 1_000_000
-MOST_MATCHES = 8
+HELD_PAIRS, MOVED_PAIRS = 1_000_000, 50_000
+#: Pairs and tokens that meet in one task of the verification.
+TASK_PAIRS, TASK_TOKENS = 2_000_000, 4_000_000
 VERIFY_COST = 8.0
 
 
@@ -65,7 +68,7 @@ def record_tokens(at: np.ndarray, raw: np.ndarray, low: int, high: int, rule: Ru
         tokens, bounds = shingles(hashes, np.searchsorted(starts, cuts), rule.n)
         return tokens, bounds, np.arange(low, high), np.zeros(high - low, np.int64)
     ends = np.flatnonzero(data == 10) + 1
-    begins = np.union1d(cuts[:-1][np.diff(cuts) > 0], ends[ends < len(data)])
+    begins = distinct(np.concatenate([cuts[:-1][np.diff(cuts) > 0], ends[ends < len(data)]]))
     row = np.searchsorted(cuts, begins, side="right") - 1
     line = np.arange(len(begins)) - np.searchsorted(row, row)
     tokens, bounds = shingles(hashes, np.searchsorted(starts, np.append(begins, len(data))), rule.n)
@@ -83,7 +86,7 @@ def packed_count(rule: Rule, ranges: int):
             first, gaps[0] = int(own[0]), 0
             small = gaps.max() < 1 << 16
             many = times.max() > 1
-            rows.append((int(k), first, gaps.astype(np.uint16 if small else np.uint32).tobytes(), 2 if small else 4, times.astype(np.uint32).tobytes() if many else b""))
+            rows.append((int(k), first, gaps.astype(np.uint16 if small else np.uint32).tobytes(), 2 if small else 4, least_bytes(times).tobytes() if many else b""))
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["part", "first", "gaps", "width", "times"])
 
@@ -92,14 +95,14 @@ def packed_count(rule: Rule, ranges: int):
             at, raw = flat(batch.column("text"))
             parts, held = [], 0
             for low, high in blocks(at):
-                if held > 2 * RANGE_POSTINGS:
+                if held > 2 * SENT_POSTINGS:
                     yield counted(parts)
                     parts, held = [], 0
                 tokens, bounds, _, _ = record_tokens(at, raw, low, high, rule)
                 held += len(tokens)
                 if rule.unit == "doc" and len(tokens):
                     row = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds))
-                    parts.append((np.unique((tokens >> np.uint64(32) << np.uint64(32)) | row) >> np.uint64(32)).astype(np.uint32))
+                    parts.append((distinct((tokens >> np.uint64(32) << np.uint64(32)) | row) >> np.uint64(32)).astype(np.uint32))
                 else:
                     parts.append((tokens >> np.uint64(32)).astype(np.uint32))
             yield counted(parts)
@@ -112,7 +115,7 @@ def count_range(table: pa.Table) -> pa.Table:
     for first, gaps, width, count in zip(*(table.column(c).to_pylist() for c in ("first", "gaps", "width", "times"))):
         own = np.cumsum(np.frombuffer(gaps, dtype=np.uint16 if width == 2 else np.uint32), dtype=np.int64) + first
         value.append(own)
-        times.append(np.frombuffer(count, dtype=np.uint32).astype(np.int64) if count else np.ones(len(own), np.int64))
+        times.append(as_sent(count, len(own)) if count else np.ones(len(own), np.int64))
     value, times = np.concatenate(value), np.concatenate(times)
     order = np.argsort(value, kind="stable")
     value, times = value[order], times[order]
@@ -148,7 +151,9 @@ def ordered_sets(tokens: np.ndarray, bounds: np.ndarray, classes: np.ndarray) ->
     """Each record's distinct tokens, rare ones first, as keys of a class and 56 bits of hash, with their bounds."""
     record = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     key = (classes[tokens >> np.uint64(64 - CLASS_BITS)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8))
-    order = np.lexsort((key, record))
+    order = np.argsort(key)
+    own = record[order]
+    order = order[np.argsort(own.astype(np.uint16) if len(bounds) <= 1 << 16 else own, kind="stable")]
     key, record = key[order], record[order]
     fresh = np.ones(len(key), dtype=bool)
     fresh[1:] = (key[1:] != key[:-1]) | (record[1:] != record[:-1])
@@ -156,6 +161,7 @@ def ordered_sets(tokens: np.ndarray, bounds: np.ndarray, classes: np.ndarray) ->
 
 
 _LOW = np.uint64((1 << 56) - 1)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def digests(key: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,46 +201,89 @@ def parities(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return flips[bounds[1:]] ^ flips[bounds[:-1]]
 
 
+def sketches(prefix: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The SKETCH tokens of each prefix that come first by their lower bits, which say nothing of their range; _NONE where it has fewer."""
+    turned = (prefix << np.uint64(32)) | (prefix >> np.uint64(32))
+    length = np.diff(np.append(starts, len(prefix)))
+    out = np.empty((len(starts), SKETCH), np.uint64)
+    for i in range(SKETCH):
+        least = np.minimum.reduceat(turned, starts)
+        out[:, i] = (least << np.uint64(32)) | (least >> np.uint64(32))
+        turned = np.where(turned == np.repeat(least, length), _NONE, turned)
+    return out
+
+
+def range_of(token: np.ndarray, ranges: int) -> np.ndarray:
+    return ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
 def least_bytes(x: np.ndarray) -> np.ndarray:
     """The same numbers, none negative, in as few bytes each as hold them all."""
-    return x.astype(np.min_scalar_type(int(x.max())))
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
 def as_sent(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"u{len(data) // n}").astype(np.int32)
+    return np.frombuffer(data, dtype=f"u{max(1, len(data) // max(1, n))}").astype(np.int64)
+
+
+POSTINGS, CLASSES, COPIES = 0, 1, 2
+_SENT = "part int, kind byte, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, c6 binary"
+_SENT_NAMES = ["part", "kind", *(f"c{i}" for i in range(7))]
+
+
+def sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int8(), *[pa.binary()] * 7]
+    rows = [r + (b"",) * (9 - len(r)) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], _SENT_NAMES)
 
 
 def packed_postings(rule: Rule, classes, ranges: int):
-    def packed(parts: list, records: list) -> pa.RecordBatch:
-        token, one, size, extra, place = (np.concatenate(x) for x in zip(*parts))
-        part = ((token >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((one, part))
-        token, one, size, extra, place, part = (x[order] for x in (token, one, size, extra, place, part))
+    """Prefix tokens by range, and records by range of their digest; sets that a batch repeats are sent once, and their other records only as copies."""
+
+    def packed(blocks_: list) -> pa.RecordBatch:
+        one, two, rid, mark, line, size, extra, length, sketch, prefix = (np.concatenate(x) for x in zip(*blocks_))
+        order = np.lexsort((mark, line, rid, two, one))
+        fresh = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+        first = order[fresh]
+        lead = first[np.cumsum(fresh) - 1]
+        copy = order[(rid[order] != rid[lead]) | (line[order] != line[lead]) | (mark[order] != mark[lead])]
+        rows: list[tuple] = []
+        home = range_of(one[first].view(np.uint64), ranges)
+        at = np.argsort(home, kind="stable")
+        edge = np.searchsorted(home[at], np.arange(ranges + 1))
+        for k in np.flatnonzero(np.diff(edge)):
+            own = first[at[edge[k] : edge[k + 1]]]
+            rows.append((int(k), CLASSES, *(x[own].tobytes() for x in (one, two, rid, mark, line, size))))
+        if len(copy):
+            rows.append((int(rid[copy[0]] % ranges), COPIES, *(x[copy].tobytes() for x in (one, two, rid, mark, line))))
+        sends = np.zeros(len(one), dtype=bool)
+        sends[first] = True
+        record = np.repeat(np.arange(len(one)), length)
+        place = np.arange(len(record)) - np.repeat(np.cumsum(length) - length, length)
+        goes = sends[record]
+        token, record, place = prefix[goes], record[goes], place[goes]
+        part = range_of(token, ranges)
+        at = np.argsort(part.astype(np.uint16) if ranges < 1 << 16 else part, kind="stable")
+        token, record, place, part = token[at].astype(np.uint32), record[at], place[at], part[at]
         edge = np.searchsorted(part, np.arange(ranges + 1))
-        rows = []
         for k in np.flatnonzero(np.diff(edge)):
             own = slice(edge[k], edge[k + 1])
-            if rule.adaptive:
-                # What belongs to a record goes once for all its tokens here.
-                head = np.flatnonzero(np.append(True, one[own][1:] != one[own][:-1]))
-                counts = np.diff(np.append(head, edge[k + 1] - edge[k])).astype(np.uint32)
-                rest = (one[own][head], counts, size[own][head], extra[own][head].astype(np.uint8))
-            else:
-                rest = (one[own], least_bytes(place[own]), least_bytes(size[own]), extra[own])
-            rows.append((int(k), token[own].astype(np.uint32).tobytes(), *(x.tobytes() for x in rest)))
-        rid, line, first, second, count = (np.concatenate(x) for x in zip(*records))
-        rows.append((-1 - int(rid[0]) % ranges, first.tobytes(), second.tobytes(), rid.astype(np.int64).tobytes(), line.astype(np.int32).tobytes(), count.astype(np.int32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(6)], list("kabcde"))
+            head = np.flatnonzero(np.append(True, record[own][1:] != record[own][:-1]))
+            who = record[own][head]
+            count = np.diff(np.append(head, edge[k + 1] - edge[k]))
+            rest = (least_bytes(count), one[who], least_bytes(size[who]), extra[who], sketch[who] if rule.adaptive else least_bytes(place[own]))
+            rows.append((int(k), POSTINGS, token[own].tobytes(), *(x.tobytes() for x in rest)))
+        return sent(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, raw = flat(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            parts, records, held = [], [], 0
+            ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
+            parts, held = [], 0
             for low, high in blocks(at):
-                if held > RANGE_POSTINGS:
-                    yield packed(parts, records)
-                    parts, records, held = [], [], 0
+                if held > SENT_POSTINGS:
+                    yield packed(parts)
+                    parts, held = [], 0
                 tokens, bounds, row, line = record_tokens(at, raw, low, high, rule)
                 filled = np.diff(bounds) > 0
                 bounds, row, line = np.append(bounds[:-1][filled], bounds[-1]), row[filled], line[filled]
@@ -243,17 +292,17 @@ def packed_postings(rule: Rule, classes, ranges: int):
                 key, edge = ordered_sets(tokens, bounds, classes.value)
                 size = np.diff(edge)
                 one, two = digests(key, edge)
-                records.append((ids[row], line, one, two, size))
                 asked = matches_asked(key, edge, size, rule)
                 length = np.minimum(size, size - needed(size, rule.threshold) + asked)
-                record = np.repeat(np.arange(len(size)), length)
-                place = np.arange(len(record)) - np.repeat(np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-                prefix = mix(key[edge[:-1][record] + place] & _LOW)
-                last = asked if rule.adaptive else parities(key, edge)
-                parts.append((prefix, one[record], size[record].astype(np.int32), last[record], place.astype(np.int32)))
-                held += len(record)
-            if records:
-                yield packed(parts, records)
+                starts = np.cumsum(length) - length
+                place = np.arange(length.sum()) - np.repeat(starts, length)
+                prefix = mix(key[np.repeat(edge[:-1], length) + place] & _LOW)
+                extra = asked.astype(np.uint8) if rule.adaptive else parities(key, edge)
+                sketch = sketches(prefix, starts) if rule.adaptive else np.zeros((len(size), 0), np.uint64)
+                parts.append((one, two, ids[row].astype(np.int64), marks[row].astype(np.int64), line.astype(np.int32), size.astype(np.int32), extra, length, sketch, prefix))
+                held += len(prefix)
+            if parts:
+                yield packed(parts)
 
     return run
 
@@ -288,170 +337,347 @@ def list_pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray | None, bi
         step += 1
 
 
-def gathered(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+def gathered(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs once each, with the sum of their matches."""
-    order = np.lexsort((b, a))
-    a, b, n, need = a[order], b[order], n[order], need[order]
-    if not len(a):
-        return a, b, n, need
-    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    return a[head], b[head], np.add.reduceat(n, head, dtype=np.int32), need[head]
-
-
-def range_pairs(rows: list[tuple], rule: Rule) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of records that share tokens of one range: (a, b, matches, matches needed), not yet once each."""
-    parts = []
-    for t, o, c, s, e in rows:
-        token, record = np.frombuffer(t, dtype=np.uint32), np.frombuffer(o, dtype=np.int64)
-        if rule.adaptive:
-            counts = np.frombuffer(c, dtype=np.uint32)
-            parts.append((token, *(np.repeat(x, counts) for x in (record, np.frombuffer(s, dtype=np.int32), np.frombuffer(e, dtype=np.uint8).astype(np.int32)))))
-        else:
-            parts.append((token, record, as_sent(s, len(token)), np.frombuffer(e, dtype=np.uint64), as_sent(c, len(token))))
-    columns = [np.concatenate(x) for x in zip(*parts)]
-    order = np.lexsort((columns[1], columns[2], columns[0]))
-    columns = [x[order] for x in columns]
-    token, record = columns[:2]
-    fresh = np.append(True, (token[1:] != token[:-1]) | (record[1:] != record[:-1]))
-    columns = [x[fresh] for x in columns]
-    token = columns[0]
-    alike = np.append(False, token[1:] == token[:-1])
-    alike[:-1] |= alike[1:]
-    token, record, size, extra, *place = (x[alike] for x in columns)
-    if len(token):
-        for x, y in list_pairs(token, size, place[0] if place else None, extra if place else None, rule):
-            a, b = record[x], record[y]
-            yield np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int32), np.minimum(extra[x], extra[y]) if rule.adaptive else np.ones(len(a), np.int32)
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    if not len(code):
+        return code, n
+    head = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return code[head], np.add.reduceat(n, head, dtype=np.int32)
 
 
-def join_ranges(rule: Rule):
-    """Joins the ranges of a partition, one after the other, and sums a pair's matches over them before it goes on."""
+def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of sets that share tokens of one range: (a, b, matches, matches asked for).
 
-    def rows(kind: int, a, b, n, need, ids) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(n), pa.array(need), ids], ["kind", "a", "b", "n", "need", "doc_id"])
-
-    def out(pairs) -> Iterator[pa.RecordBatch]:
-        for low in range(0, len(pairs[0]), MOVED_PAIRS):
-            a, b, n, need = (x[low : low + MOVED_PAIRS] for x in pairs)
-            yield rows(1, a, b, n, need, pa.nulls(len(a), pa.int64()))
+    Near copies share tokens in most ranges.  Where the sketches of two sets have a token in
+    common, only the range of the first such token, which both see, passes the pair on, and
+    its matches count as enough; other pairs are passed on by each range that has matches,
+    to be added up.  Texts decide in the end.
+    """
+    columns = []
+    for t, c, o, s, e, last, _ in rows:
+        one = np.frombuffer(o, np.int64)
+        columns.append((np.frombuffer(t, np.uint32), as_sent(c, len(one)), one, as_sent(s, len(one)), np.frombuffer(e, np.uint8 if rule.adaptive else np.uint64), np.frombuffer(last, np.uint64).reshape(-1, SKETCH) if rule.adaptive else as_sent(last, len(t) // 4)))
+    token, count, one, size, extra, last = (np.concatenate(x) for x in zip(*columns))
+    # A set that came from several batches counts once; sets are numbered in the order of their digests.
+    names, first, number = np.unique(one, return_index=True, return_inverse=True)
+    fresh = np.zeros(len(one), dtype=bool)
+    fresh[first] = True
+    goes = np.repeat(fresh, count)
+    record = np.repeat(number, count)[goes]
+    token, place = token[goes], None if rule.adaptive else last[goes]
+    size, extra = size[first], extra[first]
+    order = np.argsort((token.astype(np.uint64) << np.uint64(32)) | size[record].astype(np.uint64))
+    token, record = token[order], record[order]
+    alike = np.append(False, token[1:] == token[:-1])
+    alike[:-1] |= alike[1:]
+    token, record = token[alike], record[alike]
+    if not len(token):
+        return
+    place = None if place is None else place[order][alike]
+    total = len(names)
+
+    def passed(code: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for low in range(0, len(code), MOVED_PAIRS):
+            x, y = np.divmod(code[low : low + MOVED_PAIRS], total)
+            if not rule.adaptive:
+                none = np.ones(len(x), np.int32)
+                yield names[x], names[y], none, none
+                continue
+            matches, asked = n[low : low + MOVED_PAIRS], np.minimum(extra[x], extra[y]).astype(np.int32)
+            mine, other = last[first[x]], last[first[y]]
+            both = (mine[:, :, None] == other[:, None, :]).any(2) & (mine != _NONE)
+            meets = both.any(1)
+            at = mine[np.arange(len(x)), both.argmax(1)]
+            goes = ~meets | (range_of(at, ranges) == own)
+            matches = np.where(meets, asked, matches)
+            yield names[x[goes]], names[y[goes]], matches[goes], asked[goes]
+
+    done, times = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    fresh, waiting = [], 0
+    for x, y in list_pairs(token, size[record], place, None if rule.adaptive else extra[record], rule):
+        a, b = record[x], record[y]
+        fresh.append(np.minimum(a, b) * total + np.maximum(a, b))
+        waiting += len(a)
+        if waiting > max(HELD_PAIRS // 2, len(done)):
+            new = np.concatenate(fresh)
+            done, times = gathered(np.concatenate([done, new]), np.concatenate([times, np.ones(len(new), np.int32)]))
+            fresh, waiting = [], 0
+            if len(done) > HELD_PAIRS:
+                yield from passed(done, times)
+                done, times = done[:0], times[:0]
+    new = np.concatenate([*fresh, done[:0]])
+    yield from passed(*gathered(np.concatenate([done, new]), np.concatenate([times, np.ones(len(new), np.int32)])))
+
+
+def first_places(rows: list[tuple]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of the records of each set the first by doc_id, line and mark, and all others."""
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+    columns = [np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate(kinds)]
+    order = np.lexsort((columns[3], columns[4], columns[2], columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    differs = lambda c: np.append(True, c[1:] != c[:-1])
+    head = differs(columns[0]) | differs(columns[1])
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    other = (columns[2] != columns[2][lead]) | (columns[3] != columns[3][lead]) | (columns[4] != columns[4][lead])
+    return [c[head] for c in columns], [c[other] for c in columns]
+
+
+_JOINED = "kind byte, a long, b long, n int, need int, doc_id long, mark long, line int"
+
+
+def join_ranges(rule: Rule, ranges: int):
+    """One partition is one range: the pairs among its postings, and the first place of each set whose digest lies in it."""
+
+    def rows(kind: int, total: int, **columns: np.ndarray) -> pa.RecordBatch:
+        kinds = {"a": pa.int64(), "b": pa.int64(), "n": pa.int32(), "need": pa.int32(), "doc_id": pa.int64(), "mark": pa.int64(), "line": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array(np.full(total, kind, np.int8)), *(pa.array(columns[c], t) if c in columns else pa.nulls(total, t) for c, t in kinds.items())], ["kind", *kinds])
+
+    def records(kind: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(columns[0]), MOVED_PAIRS):
+            part = [c[low : low + MOVED_PAIRS] for c in columns]
+            yield rows(kind, len(part[0]), **dict(zip(("a", "b", "doc_id", "mark", "line", "n"), part)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        postings, homes, own = [], [], 0
         for batch in batches:
-            for k, *parts in zip(*(batch.column(c).to_pylist() for c in "kabcde")):
-                if k < 0:
-                    one, two, rid, line, size = (np.frombuffer(x, dtype=t) for x, t in zip(parts, (np.int64, np.int64, np.int64, np.int32, np.int32)))
-                    yield rows(0, one, two, size, line, pa.array(rid))
+            for part, kind, *blobs in zip(*(batch.column(c).to_pylist() for c in _SENT_NAMES)):
+                own = part
+                if kind == POSTINGS:
+                    postings.append(blobs)
+                elif kind == CLASSES:
+                    homes.append(blobs)
                 else:
-                    held.setdefault(k, []).append(parts)
-        done = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
-        fresh, waiting = [], 0
-        for k in list(held):
-            for pairs in range_pairs(held.pop(k), rule):
-                fresh.append(pairs)
-                waiting += len(pairs[0])
-                if waiting > max(HELD_PAIRS // 2, len(done[0])):
-                    done = gathered(*(np.concatenate(x) for x in zip(done, *fresh)))
-                    fresh, waiting = [], 0
-                    if len(done[0]) > HELD_PAIRS:
-                        yield from out(done)
-                        done = tuple(x[:0] for x in done)
-        yield from out(gathered(*(np.concatenate(x) for x in zip(done, *fresh))))
+                    yield from records(COPIES, [np.frombuffer(b, t) for b, t in zip(blobs, (np.int64, np.int64, np.int64, np.int64, np.int32))])
+        if homes:
+            first, others = first_places(homes)
+            homes.clear()
+            yield from records(CLASSES, first)
+            yield from records(COPIES, others[:5])
+        if postings:
+            for a, b, n, need in range_pairs(postings, rule, own, ranges):
+                yield rows(POSTINGS, len(a), a=a, b=b, n=n, need=need)
 
     return run
 
 
-def candidates(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Records (doc_id, line, one, two, size), one for each row that has tokens, and pairs (a, b) of digests that pass the filters."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+def clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs once each that have the matches they need, with the least digest that is paired with b: a key that most pairs of a cluster share."""
+    parts = [tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n", "need")) for batch in batches]
+    if not parts:
+        return
+    a, b, n, need = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((a, b))
+    a, b, n, need = a[order], b[order], n[order], need[order]
+    head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+    good = np.add.reduceat(n, head, dtype=np.int64) >= need[head] if len(head) else np.zeros(0, bool)
+    a, b = a[head][good], b[head][good]
+    if not len(a):
+        return
+    new = np.append(True, b[1:] != b[:-1])
+    key = a[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    for low in range(0, len(a), MOVED_PAIRS):
+        yield pa.RecordBatch.from_arrays([pa.array(x[low : low + MOVED_PAIRS]) for x in (a, b, key)], ["a", "b", "key"])
+
+
+@dataclass
+class Found:
+    """records: (kind, one, two, doc_id, mark, line, size), CLASSES for the first of each set, COPIES for all others; pairs: (a, b, part) of candidates, part the task that verifies them; parts: how many of those there are."""
+
+    records: DataFrame
+    pairs: DataFrame
+    parts: int
+    tables: list[DataFrame]
+
+    def discard(self) -> None:
+        scratch.discard(*self.tables)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, mark) of the rows that have an id and a text; mark tells texts apart that share an id."""
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("mark", F.xxhash64("text"))
+
+
+def candidates(docs: DataFrame, rule: Rule) -> Found:
+    """All records of `docs`, and the pairs of sets that pass the filters."""
+    docs = marked(docs)
+    spark = docs.sparkSession
     classes, total = rarity(docs, rule)
     # A prefix is about (1 - threshold) of a record; lines are short, so that rounding and the one token more count.
     postings = total * (1 - rule.threshold) * (1.1 if rule.unit == "doc" else 1.5) + 1
     ranges = int(max(8, np.ceil(postings / RANGE_POSTINGS)))
-    packed = docs.mapInArrow(packed_postings(rule, docs.sparkSession.sparkContext.broadcast(classes), ranges), "k int, a binary, b binary, c binary, d binary, e binary")
-    found = scratch.written(packed.repartition("k").mapInArrow(join_ranges(rule), "kind byte, a long, b long, n int, need int, doc_id long"), "joined")
-    records = found.where("kind = 0").select("doc_id", F.col("need").alias("line"), F.col("a").alias("one"), F.col("b").alias("two"), F.col("n").alias("size"))
-    pairs = found.where("kind = 1").select("a", "b", "n", "need")
-    if rule.adaptive:
-        pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
-    else:
-        pairs = pairs.distinct()
-    return records, pairs.select("a", "b")
+    packed = docs.mapInArrow(packed_postings(rule, spark.sparkContext.broadcast(classes), ranges), _SENT)
+    joined = scratch.written(packed.repartitionById(ranges, "part").mapInArrow(join_ranges(rule, ranges), _JOINED), "joined")
+    records = joined.where(f"kind != {POSTINGS}").select("kind", F.col("a").alias("one"), F.col("b").alias("two"), "doc_id", "mark", "line", F.col("n").alias("size"))
+    pairs = joined.where(f"kind = {POSTINGS}")
+    sizes = joined.agg(F.count_if(F.col("kind") == POSTINGS).alias("pairs"), F.count_if(F.col("kind") == CLASSES).alias("sets"), F.coalesce(F.sum(F.when(F.col("kind") == CLASSES, F.col("n"))), F.lit(0)).alias("tokens")).first()
+    keyed = scratch.written(pairs.select("a", "b", "n", "need").repartition(int(max(1, -(-sizes["pairs"] // TASK_PAIRS))), "b").mapInArrow(clusters, "a long, b long, key long"), "keyed")
+    links = keyed.count()
+    each = sizes["tokens"] / max(1, sizes["sets"])
+    parts = int(max(1, np.ceil(min(2 * links, sizes["sets"]) * each / TASK_TOKENS), np.ceil(links / TASK_PAIRS)))
+    # Keys of more than TASK_PAIRS pairs are cut into square blocks; there is one at most for every TASK_PAIRS pairs.
+    heavy = keyed.groupBy("key").agg(F.count("*").alias("links")).where(F.col("links") > TASK_PAIRS)
+    heavy = heavy.select("key", F.ceil(F.sqrt(F.col("links") * 2 / TASK_PAIRS)).cast("int").alias("side"))
+    block = F.when(F.col("side").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("a"), "side"), F.pmod(F.xxhash64("b"), "side")))
+    placed = keyed.join(F.broadcast(heavy), "key", "left").select("a", "b", F.pmod(block, F.lit(parts)).cast("int").alias("part"))
+    return Found(records, placed, parts, [joined, keyed])
+
+
+def packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        part, a, b = (batch.column(c).to_numpy() for c in ("part", "a", "b"))
+        order = np.argsort(part, kind="stable")
+        part, a, b = part[order], a[order], b[order]
+        head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+        rows = [(int(part[i]), 0, pa.compress(a[i:j].tobytes() + b[i:j].tobytes(), "lz4", asbytes=True), int(j - i)) for i, j in zip(head, np.append(head[1:], len(part)))]
+        yield met_rows(rows)
+
+
+def met_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"part": pa.int32(), "kind": pa.int8(), "body": pa.binary(), "n": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
 
 
 def record_texts(rule: Rule):
-    """The text of each wanted record: of a whole row, or of the lines that `lines` names."""
+    """The text of each wanted record, of a whole row or of one line, compressed together with others that go to the same task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            group, text = [], []
-            for body, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                cut = body.split("\n") if rule.unit == "line" else None
-                for w in wanted:
-                    if cut is None or w["line"] < len(cut):
-                        group.append(w["group"])
-                        text.append(cut[w["line"]] if cut is not None else body)
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.string()), pa.array(text, pa.string())], ["group", "text"])
+        seen: set[tuple[int, int]] = set()  # of rows that are repeated one is enough
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                by: dict[int, tuple[list, list]] = {}
+                for doc_id, mark, body, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text", "wanted"))):
+                    if (doc_id, mark) in seen:
+                        continue
+                    seen.add((doc_id, mark))
+                    cut = body.split("\n") if rule.unit == "line" else None
+                    for w in wanted:
+                        fields, texts = by.setdefault(w["part"], ([], []))
+                        texts.append((body if cut is None else cut[w["line"]]).encode())
+                        fields += (w["one"], doc_id, mark, w["line"], w["weight"], len(texts[-1]))
+                rows = []
+                for part, (fields, texts) in by.items():
+                    data = np.array(fields, np.int64).tobytes() + b"".join(texts)
+                    rows.append((part, 1, len(fields).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True), len(data)))
+                yield met_rows(rows)
 
     return run
 
 
-def verify_group(rule: Rule):
-    plain = Rule("doc", rule.n, rule.threshold, False)
+def numbered_sets(at: np.ndarray, raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The set of n-grams of each text as rising numbers, with bounds; n-grams that no two texts share have no number, but count in the sizes."""
+    first, second, count = [], [], []
+    for low, high in blocks(at):
+        data, cuts = raw[at[low] : at[high]], at[low : high + 1] - at[low]
+        starts, ends, hashes = words(data, cuts)
+        bounds = np.searchsorted(starts, cuts)
+        for out, own in ((first, hashes), (second, other_hashes(data, starts, ends))):
+            tokens, edge = shingles(own, bounds, n)
+            out.append(tokens)
+        count.append(np.diff(edge))
+    token, other, count = (np.concatenate(x) for x in (first, second, count))
+    record = np.repeat(np.arange(len(count)), count)
+    order = np.argsort(token)
+    token, other, record = token[order], other[order], record[order]
+    if (other[1:] != other[:-1])[token[1:] == token[:-1]].any():
+        # Two n-grams share the first hash: all are sorted by both.
+        order = np.lexsort((other, token))
+        token, other, record = token[order], other[order], record[order]
+    number = np.cumsum(np.append(True, (token[1:] != token[:-1]) | (other[1:] != other[:-1]))) - 1
+    code = distinct((record << 32) | number)
+    record, number = code >> 32, code & 0xFFFFFFFF
+    size = np.bincount(record, minlength=len(count))
+    shared = np.bincount(number) > 1
+    kept = shared[number]
+    number = (np.cumsum(shared) - 1)[number[kept]]
+    return number, np.searchsorted(record[kept], np.arange(len(count) + 1)), size, int(shared.sum())
+
+
+def overlaps(token: np.ndarray, edge: np.ndarray, a: np.ndarray, b: np.ndarray, total: int) -> np.ndarray:
+    """How many tokens the sets a[i] and b[i] share; pairs sorted by a. The tokens of some sets are marked in a table, a row for each, and those of their partners looked up."""
+    out, size = np.zeros(len(a), np.int64), np.diff(edge)
+    head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
+    ends = np.append(head[1:], len(a))
+    slots = int(max(1, min(512, (1 << 24) // max(1, total))))
+    seen = np.zeros(slots * max(1, total), dtype=bool)
+
+    def places(row: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = size[who]
+        begin = np.cumsum(n) - n
+        at = np.repeat(edge[who] - begin, n) + np.arange(n.sum())
+        return np.repeat(row * total, n) + token[at], begin
+
+    for i in range(0, len(head), slots):
+        low, high = int(head[i]), int(ends[min(i + slots, len(head)) - 1])
+        own = a[head[i : i + slots]]
+        marks, _ = places(np.arange(len(own)), own)
+        seen[marks] = True
+        row = np.repeat(np.arange(len(own)), ends[i : i + slots] - head[i : i + slots])
+        # In slices, so that sets with many partners don't bring all their tokens together.
+        bound = np.cumsum(size[b[low:high]])
+        at = 0
+        while at < high - low:
+            upto = max(at + 1, int(np.searchsorted(bound, (bound[at - 1] if at else 0) + TASK_TOKENS // 4, side="right")))
+            other, begin = places(row[at:upto], b[low + at : low + upto])
+            hits = np.concatenate([[0], np.cumsum(seen[other])])
+            out[low + at : low + upto] = hits[begin + size[b[low + at : low + upto]]] - hits[begin]
+            at = upto
+        seen[marks] = False
+    return out
+
+
+def verify(rule: Rule, told):
+    """Counts the overlap of each pair that meets here, on whole texts; `told` makes rows of those that reach the threshold."""
 
-    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        out_a, out_b, out_j = [], [], []
-        if len(texts) and len(pairs):
-            at, raw = flat(texts.column("text"))
-            # Rows may share a doc_id and differ in text, so a record is found by the digest of what was fetched.
-            known = {}
-            for low, high in blocks(at):
-                tokens, bounds, _, _ = record_tokens(at, raw, low, high, plain)
-                key, edge = ordered_sets(tokens, bounds, np.zeros(1 << CLASS_BITS, np.uint8))
-                one, _ = digests(key, edge)
-                known.update((d, key[edge[i] : edge[i + 1]].copy()) for i, d in enumerate(one.tolist()))
-            for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-                x, y = known.get(a), known.get(b)
-                if x is None or y is None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, fields, texts = [], [], []
+        for batch in batches:
+            for kind, body, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "body", "n"))):
+                if kind == 0:
+                    pairs.append(np.frombuffer(pa.decompress(body, 16 * n, "lz4", asbytes=True), np.int64).reshape(2, n))
                     continue
-                if len(x) > len(y):
-                    x, y = y, x
-                slot = np.searchsorted(y, x)
-                slot[slot == len(y)] = 0
-                shared = int(np.count_nonzero(y[slot] == x))
-                both = len(x) + len(y) - shared
-                if shared >= rule.threshold * both - 1e-9:
-                    out_a.append(a)
-                    out_b.append(b)
-                    out_j.append(shared / both)
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "jaccard": pa.array(out_j, pa.float64())})
+                k = int.from_bytes(body[:8], "little")
+                data = pa.decompress(body[8:], n, "zstd", asbytes=True)
+                fields.append(np.frombuffer(data, np.int64, k).reshape(-1, 6))
+                texts.append(np.frombuffer(data, np.uint8, offset=8 * k))
+        if not pairs:
+            return
+        if not fields:
+            raise RuntimeError("no text of a candidate was found: the table changed while it was read")
+        known = np.concatenate(fields)
+        at, raw = np.concatenate([[0], np.cumsum(known[:, 5])]), np.concatenate(texts)
+        texts.clear()
+        order = np.argsort(known[:, 0], kind="stable")
+        names = known[order, 0]
+        a, b = np.concatenate(pairs, axis=1)
+        slot_a, slot_b = (np.minimum(np.searchsorted(names, x), len(names) - 1) for x in (a, b))
+        if (names[slot_a] != a).any() or (names[slot_b] != b).any():
+            raise RuntimeError("the text of a candidate was not found: the table changed while it was read")
+        a, b = order[slot_a], order[slot_b]
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        token, edge, size, total = numbered_sets(at, raw, rule.n)
+        shared = overlaps(token, edge, a, b, total)
+        good = shared >= rule.threshold * (size[a] + size[b] - shared) - 1e-9
+        yield from told(known, a[good], b[good])
 
     return run
 
 
-def verified(docs: DataFrame, records: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs of `pairs` whose sets reach the threshold, as (a, b, jaccard) with digests a < b.
+def verified(docs: DataFrame, found: Found, firsts: DataFrame, rule: Rule, told, schema: str) -> DataFrame:
+    """Rows that `told(known, a, b)` makes of the pairs whose sets reach the threshold; a and b are rows of known: (one, doc_id, mark, line, weight, bytes).
 
-    Pairs are grouped by the least digest next to either side, which gathers a cluster of
-    near copies under few keys; a cluster of more than GROUP_RECORDS is cut into square
-    blocks of pairs.  Texts of the records are brought to their groups once each.
+    firsts: (one, doc_id, mark, line, weight) of each set.  Pairs of a cluster meet in one
+    task, and the text of a set is brought there once for all of them.  Nothing that grows
+    with the input is broadcast: the texts move once, joined by a hash table of the places
+    that are wanted of each partition.
     """
-    spark = docs.sparkSession
-    pairs = scratch.written(pairs, "pairs")
-    total = pairs.count()
-    least = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("low"))
-    keyed = pairs.join(least, "a", "left").withColumn("key", F.coalesce("low", "a"))
-    breadth = keyed.groupBy("key").agg(F.count("*").alias("links"))
-    groups = int(max(1, np.ceil(total / (8 * GROUP_RECORDS))))
-    # A cluster of r records has up to r * r / 2 pairs.
-    side = F.ceil(F.sqrt(F.col("links") * 2) / GROUP_RECORDS).cast("int")
-    block = F.when(F.col("side") <= 1, F.concat(F.lit("g"), F.pmod(F.xxhash64("key"), F.lit(groups)).cast("string"))).otherwise(F.concat_ws(":", "key", F.pmod(F.xxhash64("a"), "side"), F.pmod(F.xxhash64("b"), "side")))
-    placed = scratch.written(keyed.join(breadth.withColumn("side", side), "key").select("a", "b", block.alias("group")), "placed")
-    wanted = placed.select("group", F.explode(F.array("a", "b")).alias("one")).distinct()
-    source = records.groupBy("one").agg(F.min(F.struct("doc_id", "line")).alias("first")).select("one", "first.*")
-    wanted = scratch.written(wanted.join(source, "one").groupBy("doc_id").agg(F.collect_list(F.struct("group", "line")).alias("wanted")), "wanted")
-    size = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    fetched = texts.join(F.broadcast(wanted) if size <= BROADCAST_RECORDS else wanted, "doc_id")
-    sets = fetched.select("text", "wanted").mapInArrow(record_texts(rule), "group string, text string")
-    return sets.groupBy("group").cogroup(placed.groupBy("group")).applyInArrow(verify_group(rule), "a long, b long, jaccard double")
+    wanted = found.pairs.select("part", F.explode(F.array("a", "b")).alias("one")).distinct()
+    wanted = wanted.join(firsts, "one").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("line", "part", "one", "weight")).alias("wanted"))
+    fetched = marked(docs).join(wanted.hint("shuffle_hash"), ["doc_id", "mark"])
+    schema_in = "part int, kind byte, body binary, n long"
+    texts = fetched.mapInArrow(record_texts(rule), schema_in)
+    pairs = found.pairs.mapInArrow(packed_pairs, schema_in)
+    return texts.unionByName(pairs).repartitionById(found.parts, "part").mapInArrow(verify(rule, told), schema)

@@ -2,20 +2,25 @@
 
 Words are maximal runs of bytes other than ASCII white space, case kept.  A word's
 hash is a polynomial over its bytes in arithmetic modulo 2**64, so that all words of a
-block come out of one running sum; no Python string is made for any of them.
+block come out of one running sum; only words of more than LONG_WORD bytes are hashed one
+by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Longer words are hashed by BLAKE2b: a polynomial modulo 2**64 has known collisions among long words of two letters.
+LONG_WORD = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240613).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_TOO = np.random.default_rng(20240614).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: tuple[np.ndarray, np.ndarray] | None = None
@@ -44,6 +49,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The values of x once each, sorted; np.unique would hash them, which takes several times as long where most differ."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, one more than rows) and the bytes they point into; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -86,10 +97,22 @@ def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     tail[:-1] = space[1:]
     tail[inner - 1] = True
     ends = np.flatnonzero(tail & ~space) + 1
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    return starts, ends, mix((total[ends] - total[starts]) * inverse[starts])
+    return starts, ends, hashed(data, starts, ends, _BYTE, 0)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray, half: int) -> np.ndarray:
+    power, inverse = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(byte[data] * power[: len(data)], out=total[1:])
+    hashes = mix((total[ends] - total[starts]) * inverse[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()[8 * half : 8 * half + 8], "little")
+    return hashes
+
+
+def other_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the same words that don't depend on those of `words`; both together tell words apart by 128 bits."""
+    return hashed(data, starts, ends, _BYTE_TOO, 1)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

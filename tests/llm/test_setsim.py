@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import line_dedup, near_docs
+from marginalia.llm import line_dedup, near_docs, setsim
 
 DOCS = "doc_id long, text string"
 WORDS = [f"w{i}" for i in range(60)]
@@ -33,44 +33,67 @@ def grams(text, n=3):
     return frozenset([tuple(w)] if 0 < len(w) < n else (tuple(w[i : i + n]) for i in range(len(w) - n + 1)))
 
 
-def expected_pairs(rows, threshold=0.5):
-    sets = {}
-    for doc_id, text in rows:
-        if doc_id is not None and text is not None and grams(text):
-            sets.setdefault(grams(text), []).append(doc_id)
-    out = {}
-    heads = {s: min(ids) for s, ids in sets.items()}
-    for s, ids in sets.items():
-        for i in ids:
-            if i != heads[s]:
-                out[heads[s], i] = 1.0
-    sets = list(heads)
-    for i, a in enumerate(sets):
-        for b in sets[:i]:
-            j = jaccard(a, b)
-            if j >= threshold - 1e-12 and heads[a] != heads[b]:
-                key = tuple(sorted((heads[a], heads[b])))
-                out[key] = max(j, out.get(key, 0))
-    return out
+def expected_classes(rows, threshold=0.5):
+    """(class_id, links) of every doc_id, by comparing all documents with all."""
+    docs = sorted({(i, t) for i, t in rows if i is not None}, key=str)
+    sets = [(i, grams(t)) for i, t in docs if t is not None and grams(t)]
+    links, root = {i: 0 for i, _ in docs}, {i: i for i, _ in docs}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if jaccard(a, b) >= threshold - 1e-12:
+                links[i] += 1
+                links[j] += 1
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    return {i: (top(i), links[i]) for i, _ in docs}
+
+
+def classes_of(df):
+    got = df.collect()
+    found = {r.doc_id: (r.class_id, r.links) for r in got}
+    assert len(found) == len(got)
+    return found
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_near_pairs_equal_brute_force(spark, seed):
+def test_near_classes_equal_brute_force(spark, seed):
     rows = list(enumerate(corpus(seed, 120, 12)))
-    got = near_docs.near_pairs(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
-    want = expected_pairs(rows)
-    assert {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
-    assert len(want) > 20
+    want = expected_classes(rows)
+    assert classes_of(near_docs.near_classes(spark.createDataFrame(rows, DOCS).repartition(3))) == want
+    assert sum(k for _, k in want.values()) > 40 and len({c for c, _ in want.values()}) > 10
+
+
+@pytest.mark.parametrize("pairs, tokens, postings", [(3, 50, 3_000_000), (2_000_000, 4_000_000, 40)])
+def test_near_classes_in_many_tasks(spark, monkeypatch, pairs, tokens, postings):
+    """Clusters that are cut into blocks, and ranges of few postings, change nothing."""
+    for name, value in (("TASK_PAIRS", pairs), ("TASK_TOKENS", tokens), ("RANGE_POSTINGS", postings)):
+        monkeypatch.setattr(setsim, name, value)
+    rows = list(enumerate(corpus(7, 40, 8)))
+    assert classes_of(near_docs.near_classes(spark.createDataFrame(rows, DOCS).repartition(2))) == expected_classes(rows)
 
 
-def test_near_pairs_odd_rows(spark):
+def test_near_classes_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
-    rows = [(1, None), (2, ""), (3, "  \n "), (4, "one"), (5, "one"), (None, "one"), (6, "a b c d"), (6, "a b c d"), (6, "x y z"), (7, "x y z"), (8, long), (9, long + " more")]
-    df = spark.createDataFrame(rows, DOCS).select("*", F.lit(1).alias("jaccard"), F.lit("x").alias("one"), F.lit(2).alias("k"))
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in near_docs.near_pairs(df).collect()}
-    assert set(got) == {(4, 5), (6, 7), (8, 9)}
-    assert got[4, 5] == 1.0 and 0.999 < got[8, 9] < 1
-    assert near_docs.near_pairs(spark.createDataFrame([], DOCS)).count() == 0
+    rows = [(1, None), (2, ""), (3, "  \n "), (4, "one"), (5, "one"), (None, "one"), (6, "a b c d"), (6, "a b c d"), (6, "x y z"), (7, "x y z"), (8, long), (9, long + " more"), (10, "a b c d")]
+    df = spark.createDataFrame(rows, DOCS).select("*", F.lit(1).alias("links"), F.lit("x").alias("one"), F.lit(2).alias("k"))
+    want = {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 1), 5: (4, 1), 6: (6, 2), 7: (6, 1), 8: (8, 1), 9: (8, 1), 10: (6, 1)}
+    assert classes_of(near_docs.near_classes(df)) == want
+    assert near_docs.near_classes(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_words_of_two_letters_keep_apart(spark):
+    """Thue-Morse words collide under polynomials modulo a power of two."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    assert classes_of(near_docs.near_classes(spark.createDataFrame(rows, DOCS))) == {1: (1, 1), 2: (2, 0), 3: (1, 1)}
 
 
 def test_one_of_each_group(spark):
