@@ -12,9 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from . import scratch
 
-#: Digests that share a state entry, on average, and locators that are broadcast to fetch texts.
+#: Digests that share a state entry, on average.
 DIGESTS_PER_ENTRY = 8
-BROADCAST_LOCATORS = 500_000
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -58,17 +57,31 @@ def stream_of(spark: SparkSession, path: str, batch_bytes: str | None) -> DataFr
     return reader.parquet(path)
 
 
-def decisions(spark: SparkSession, path: str, checkpoint: str | None = None, expected: int | None = None, digest_bits: int = 256, batch_bytes: str | None = None) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def prefix_of(spark: SparkSession, path: str, base: str, expected: int | None) -> int:
+    """How many hex digits of a digest name its state entry. The first run on a checkpoint decides and writes it there, for entries by another length would not be found again."""
+    layout = f"{base}/layout"
+    if not exists(spark, f"{layout}/_SUCCESS"):
+        expected = expected or spark.read.parquet(path).count()
+        prefix = max(1, math.ceil(math.log(max(expected, 1) / DIGESTS_PER_ENTRY + 1, 16)))
+        spark.createDataFrame([(prefix,)], "prefix int").coalesce(1).write.mode("overwrite").parquet(layout)
+    return spark.read.schema("prefix int").parquet(layout).first()[0]
+
+
+def decisions(spark: SparkSession, path: str, base: str, expected: int | None = None, digest_bits: int = 256, batch_bytes: str | None = None) -> DataFrame:
     """Reads what is new under `path` and returns all decisions so far: (doc_id, digest, locator, first_id, first_locator).
 
-    State is kept in RocksDB and never expires: for each digest the id and the locator of
-    the first document that had it.  One state entry holds the few digests of one prefix,
-    whose length follows from `expected`, the number of documents to be met in all; it must
-    stay the same for a checkpoint.  batch_bytes bounds a micro-batch.
+    State is kept in RocksDB under `base` and never expires: for each digest the id and the
+    locator of the first document that had it.  One state entry holds the few digests of
+    one prefix, whose length the first run takes from `expected`, the number of documents
+    to be met in all, or else from how many there are; later runs keep it, and entries grow
+    if there come many more.  batch_bytes bounds a micro-batch.
     """
-    base = checkpoint or scratch.place(spark, "exact")
-    expected = expected or spark.read.parquet(path).count()
-    prefix = max(1, math.ceil(math.log(max(expected, 1) / DIGESTS_PER_ENTRY + 1, 16)))
+    prefix = prefix_of(spark, path, base, expected)
     before = {k: spark.conf.get(k, None) for k in _CONF}
     for k, v in _CONF.items():
         spark.conf.set(k, v)
@@ -85,34 +98,57 @@ def decisions(spark: SparkSession, path: str, checkpoint: str | None = None, exp
     return spark.read.schema(_OUT).parquet(f"{base}/decisions")
 
 
-def exact_dedup(spark: SparkSession, path: str, **options) -> DataFrame:
+_COMPARED = "locator string, first_locator string, same boolean"
+
+
+def texts_at(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """`asked` (locator and others) with doc_id and text, by a hash join at any size; locators are unique in `texts`."""
+    return texts.join(asked.hint("shuffle_hash"), "locator")
+
+
+def compared(texts: DataFrame, hits: DataFrame, base: str) -> DataFrame:
+    """All hits as (locator, first_locator, same): whether their bytes are those of the first. Only those that no earlier run compared are fetched."""
+    spark, path = hits.sparkSession, f"{base}/compared"
+    known = spark.read.schema(_COMPARED).parquet(path) if exists(spark, path) else None
+    pairs = hits.select("locator", "first_locator")
+    fresh = pairs if known is None else pairs.join(known.select("locator"), "locator", "left_anti")
+    asked = fresh.unionByName(fresh.select(F.col("first_locator").alias("locator"), "first_locator").distinct())
+    fetched = texts_at(texts, asked).select("locator", "first_locator", "text")
+    # Equal bytes throughout a group means that its least and greatest texts are one text; both are found before anything is shuffled.
+    odd = scratch.written(fetched.groupBy("first_locator").agg((F.min("text") != F.max("text")).alias("odd")).where("odd").select("first_locator"), "odd")
+    firsts = fetched.where("locator = first_locator").join(odd, "first_locator").select("first_locator", F.col("text").alias("first_text"))
+    other = fetched.where("locator != first_locator").join(firsts, "first_locator").where("text != first_text").select("locator", F.lit(False).alias("same"))
+    fresh.join(other, "locator", "left").select("locator", "first_locator", F.coalesce("same", F.lit(True)).alias("same")).write.mode("append").parquet(path)
+    return spark.read.schema(_COMPARED).parquet(path)
+
+
+def exact_dedup(spark: SparkSession, path: str, checkpoint: str | None = None, **options) -> DataFrame:
     """Documents under `path` (Parquet) that no earlier document equals byte for byte, as (doc_id, digest, locator).
 
     Of equal documents the first to arrive stays: among those of one micro-batch the one
     with the least doc_id, then locator, a null doc_id last.  A document whose digest was
     met before counts as a hit only: its bytes are compared with those of the first, both
     fetched by their locators, and where they differ, each different text stays once.
+    With a checkpoint, a later call reads and compares only what is new, and the result
+    has all that was decided so far.
 
     Documents with a null text equal nothing and all stay, with a null digest.  An empty
     text is a text like any other.  Repeated rows are equal documents: one stays.  Other
     columns are ignored.  An empty table gives no rows.
     """
+    base = checkpoint or scratch.place(spark, "exact")
     spark_docs = located(spark.read.parquet(path))
-    met = decisions(spark, path, **options)
+    met = decisions(spark, path, base, **options)
     first = met.where("locator = first_locator")
-    hits = met.where("locator != first_locator")
-    asked = hits.select("locator", "first_locator").unionByName(hits.select(F.col("first_locator").alias("locator"), "first_locator").distinct())
-    asked = scratch.written(asked.withColumnRenamed("locator", "at"), "asked")
     texts = spark_docs.where("text is not null")
-    small = asked.count() <= BROADCAST_LOCATORS
-    fetched = texts.join(F.broadcast(asked) if small else asked, F.col("locator") == F.col("at")).select("doc_id", "locator", "first_locator", "text")
-    # Equal bytes throughout a group means that its least and greatest texts are one text; both are found before anything is shuffled.
-    differ = scratch.written(fetched.groupBy("first_locator").agg((F.min("text") != F.max("text")).alias("differ")).where("differ").select("first_locator"), "differ")
-    apart = fetched.join(differ, "first_locator").groupBy("first_locator", "text").agg(F.min(F.struct((F.col("locator") != F.col("first_locator")).alias("later"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")).alias("stays"))
-    more = apart.where("stays.later").select("stays.doc_id", "stays.locator", "first_locator").join(first.select(F.col("locator").alias("first_locator"), "digest"), "first_locator")
+    odd = compared(texts, met.where("locator != first_locator"), base).where("NOT same").select("locator", "first_locator")
+    apart = texts_at(texts, odd).groupBy("first_locator", "text").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "locator")).alias("stays")) if odd.head(1) else None
     hexed = lambda df: df.select("doc_id", F.lower(F.hex("digest")).alias("digest"), "locator")
     nulls = spark_docs.where("text is null").select("doc_id", F.lit(None).cast("string").alias("digest"), "locator")
-    return hexed(first).unionByName(hexed(more)).unionByName(nulls)
+    out = hexed(first).unionByName(nulls)
+    if apart is not None:
+        out = out.unionByName(hexed(apart.select("stays.doc_id", "stays.locator", "first_locator").join(first.select(F.col("locator").alias("first_locator"), "digest"), "first_locator")))
+    return out
 
 
 SQL = "SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL"

@@ -29,6 +29,27 @@ def test_state_outlives_batches_and_runs(spark, tmp_path):
     assert ids(X.exact_dedup(spark, path, **options)) == [4, 6, 7]
 
 
+def test_a_checkpoint_keeps_its_entries_whatever_the_count(spark, tmp_path):
+    """The counts of the two runs ask for prefixes of different lengths."""
+    path, checkpoint = str(tmp_path / "docs"), f"file://{tmp_path}/state"
+    put(spark, path, [(i, f"t{i}") for i in range(100)])
+    assert ids(X.exact_dedup(spark, path, checkpoint)) == list(range(100))
+    put(spark, path, [(1000 + i, f"t{i}") for i in range(100)])
+    assert ids(X.exact_dedup(spark, path, checkpoint)) == list(range(100))
+    assert spark.read.parquet(f"{checkpoint}/compared").count() == 100
+    put(spark, path, [(2000, "t5"), (2001, "new")])
+    assert ids(X.exact_dedup(spark, path, checkpoint)) == [*range(100), 2001]
+    assert spark.read.parquet(f"{checkpoint}/compared").count() == 101
+
+
+def test_texts_that_share_a_digest_are_told_apart_over_runs(spark, tmp_path):
+    path, checkpoint = str(tmp_path / "docs"), f"file://{tmp_path}/state"
+    put(spark, path, [(i, f"text {i % 40}") for i in range(60)])
+    assert ids(X.exact_dedup(spark, path, checkpoint, digest_bits=4)) == list(range(40))
+    put(spark, path, [(100 + i, f"text {i % 50}") for i in range(60)])
+    assert ids(X.exact_dedup(spark, path, checkpoint, digest_bits=4)) == [*range(40), *range(140, 150)]
+
+
 @pytest.mark.parametrize("bits", [4, 8])
 def test_equal_digests_of_different_texts_are_told_apart(spark, tmp_path, bits):
     path = str(tmp_path / "docs")
