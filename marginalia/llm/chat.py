@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ def canonical(value: object) -> str:
 
 
 def parsed(text: str | None) -> object:
-    """The value of a JSON text; a repeated key and NaN or Infinity are errors."""
+    """The value of a JSON text. Errors, all ValueError: a repeated key, NaN or Infinity, a number beyond a double, a lone surrogate, a null text."""
 
     def once(pairs: list) -> dict:
         if len({k for k, _ in pairs}) < len(pairs):
@@ -35,24 +36,36 @@ def parsed(text: str | None) -> object:
     def none(name: str) -> None:
         raise ValueError(name)
 
+    def finite(digits: str) -> float:
+        value = float(digits)
+        if not math.isfinite(value):
+            raise ValueError("number out of range")
+        return value
+
     if text is None:
         raise ValueError("null")
-    return json.loads(text, object_pairs_hook=once, parse_constant=none)
+    value = json.loads(text, object_pairs_hook=once, parse_constant=none, parse_float=finite)
+    canonical(value).encode()  # a lone surrogate has no bytes
+    return value
+
+
+def of_type(value: object, kind: str) -> bool:
+    """Whether a value has a type of JSON Schema; nothing has a type of another name."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind == "number":
+        return number
+    if kind == "integer":
+        return number and (isinstance(value, int) or value.is_integer())
+    return kind in _TYPES and isinstance(value, _TYPES[kind])
 
 
 def faults(value: object, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a schema: type, enum, required, properties, additionalProperties, items, and bounds of numbers and lengths."""
+    """Where a value breaks a schema: type, one or a list of them, enum, required, properties, additionalProperties, items, and bounds of numbers and lengths."""
     out = []
     kind = schema.get("type")
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind == "integer":
-        right = number and float(value).is_integer()
-    elif kind == "number":
-        right = number
-    else:
-        right = kind is None or (isinstance(value, _TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool)))
-    if not right:
-        return [f"{at}: not {kind}"]
+    number = of_type(value, "number")
+    if kind is not None and not any(of_type(value, k) for k in ([kind] if isinstance(kind, str) else kind)):
+        return [f"{at}: not {kind if isinstance(kind, str) else ' or '.join(kind)}"]
     if "enum" in schema and not any(canonical(value) == canonical(e) for e in schema["enum"]):
         out.append(f"{at}: not in enum")
     if number:
@@ -145,7 +158,7 @@ def written_chat(messages: list[dict], calls: list[dict], schemas: dict) -> tupl
         by_turn.setdefault(c["turn"], []).append((c, value, not found))
     rows: list = []
     turns = {}
-    for m in sorted(messages, key=lambda m: (m["turn"] is None, m["turn"] or 0, m["role"] or "", m["text"] or "")):
+    for m in sorted(messages, key=lambda m: (m["turn"] is None, m["turn"] or 0, m["role"] is not None, m["role"] or "", m["text"] is not None, m["text"] or "")):
         rows.append((m["turn"], {"role": m["role"], "content": m["text"]}))
         if m["role"] == "assistant":
             turns.setdefault(m["turn"], rows[-1][1])
@@ -172,8 +185,11 @@ def chats(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: di
     order.  Orphan results, and repeated or nameless calls and results, are left out and
     counted.
 
+    Arguments that no JSON text may have (repeated keys, numbers beyond a double, lone
+    surrogates, nesting beyond Python's stack) are a fault of that call and stay as text.
+
     Rows with a null conv_id are ignored; null roles and texts become JSON nulls; messages
-    are ordered by turn, role and text, null turns last; equal messages are kept once.
+    are ordered by turn, role and text, null turns last and null roles and texts first; equal messages are kept once.
     Conversations that have calls but no message are there too.  Other columns are ignored,
     and empty tables give no rows.
     """
