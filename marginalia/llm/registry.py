@@ -43,7 +43,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding that an earlier one resembles at a cosine of 0.95 or more."""
+    """The class of every embedding and the number of its links: a cosine of at least 0.95."""
     return near_vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
