@@ -29,18 +29,20 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
 
     No task holds a whole source or a whole shard: ranks are counted by ranges of the MD5,
     over ids alone, and give the place of every cut; the full rows then move once, to
-    slices of shards of SLICE_BYTES.
+    slices of shards of SLICE_BYTES of text, each in a task of its own.  Beyond BROADCAST_CUTS
+    cuts they move once more before that, to be joined with them.
     """
     names = [c for c in docs.columns if c.lower() not in ("shard", "position")]
+    k_, s_, p_, cuts_, cut_, slice_, at_ = (scratch.free_name(docs, c) for c in ("k_", "s_", "p_", "cuts_", "cut_", "slice_", "at_"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = docs.select(*names).withColumn("__key", key)
-    narrow = keyed.select(F.col("source").alias("s"), F.col("__key").alias("key"))
-    total = docs.count()
+    keyed = docs.select(*names).withColumn(k_, key)
+    narrow = keyed.select(F.col("source").alias("s"), F.col(k_).alias("key"))
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     digits = 1
     while total / 16**digits > RANKED_ROWS:
         digits += 1
     part = lambda k: F.substring(k, 1, digits)
-    slices = max(1, -(-scratch.pieces(docs, SLICE_BYTES, 1, 10_000_000) // shards))
+    slices = max(1, -(-size // (SLICE_BYTES * shards)))
     narrow = narrow.withColumn("part", part(F.col("key")))
     counts = narrow.groupBy("s", "part").agg(F.count("*").alias("c"))
     by_source = Window.partitionBy("s")
@@ -54,20 +56,21 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
     filled = cuts.groupBy("slice").agg(F.sum("c").alias("c")).withColumn("shard", shard)
     offsets = filled.select("slice", (F.sum("c").over(Window.partitionBy("shard").orderBy("slice")) - F.col("c")).alias("offset"))
     table = cuts.join(offsets, "slice").groupBy("s", "part").agg(F.sort_array(F.collect_list(F.struct("low", "slice", "rank", "n", "offset"))).alias("cuts"))
-    table = scratch.written(table, "places").withColumnsRenamed({"s": "__s", "part": "__part", "cuts": "__cuts"})
+    table = scratch.written(table, "places").withColumnsRenamed({"s": s_, "part": p_, "cuts": cuts_})
     held = cuts.count()
     placed = (
-        keyed.join(F.broadcast(table) if held <= BROADCAST_CUTS else table, F.col("source").eqNullSafe(F.col("__s")) & (part(F.col("__key")) == F.col("__part")))
-        .withColumn("__cut", F.expr("element_at(filter(__cuts, c -> c.low <= __key), -1)"))
-        .select(*names, "__key", "__part", "__cut")
-        .withColumn("__slice", F.col("__cut.slice"))
+        keyed.join(F.broadcast(table) if held <= BROADCAST_CUTS else table, F.col("source").eqNullSafe(F.col(s_)) & (part(F.col(k_)) == F.col(p_)))
+        .withColumn(cut_, F.element_at(F.filter(cuts_, lambda c: c["low"] <= F.col(k_)), -1))
+        .select(*names, k_, p_, cut_)
+        .withColumn(slice_, F.col(cut_)["slice"].cast("int"))
     )
-    moved = placed.repartition("__slice")
-    first = Window.partitionBy("__slice", "source", "__part").orderBy("__key")
-    at = (2 * (F.col("__cut.rank") + F.rank().over(first) - 1) - 1) / (2.0 * F.col("__cut.n"))
-    order = Window.partitionBy("__slice").orderBy(F.col("__at").asc_nulls_first(), F.col("source").asc_nulls_first(), "__key", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered = moved.withColumn("__at", at).withColumn("position", (F.col("__cut.offset") + F.row_number().over(order)).cast("long"))
-    return ordered.select(*names, F.expr(f"__slice div {slices}").cast("long").alias("shard"), "position")
+    # One slice is one task.
+    moved = placed.repartitionById(shards * slices, slice_)
+    first = Window.partitionBy(slice_, "source", p_).orderBy(k_)
+    at = (2 * (F.col(cut_)["rank"] + F.rank().over(first) - 1) - 1) / (2.0 * F.col(cut_)["n"])
+    order = Window.partitionBy(slice_).orderBy(F.col(at_).asc_nulls_first(), F.col("source").asc_nulls_first(), k_, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = moved.withColumn(at_, at).withColumn("position", (F.col(cut_)["offset"] + F.row_number().over(order)).cast("long"))
+    return ordered.select(*names, F.expr(f"{slice_} div {slices}").cast("long").alias("shard"), "position")
 
 
 SQL = f"""

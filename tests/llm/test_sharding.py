@@ -29,9 +29,9 @@ def test_equals_brute_force_and_matches_the_mixture(spark, monkeypatch, slice_by
     monkeypatch.setattr(S, "RANKED_ROWS", 30)
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", f"t{i}") for i in range(400)]
     rows += [(None, "hot", "x"), (None, None, None), (7, "hot", "again"), (7, "hot", "again"), (900, None, ""), (901, "one", "z" * 100_000)]
-    df = spark.createDataFrame([(*r, 5, "q") for r in rows], "doc_id long, source string, text string, shard int, cuts string").repartition(3)
+    df = spark.createDataFrame([(*r, 5, "q") for r in rows], "doc_id long, source string, text string, shard int, cuts_ string").repartition(3)
     out = S.sharded(df, 8, 11)
-    assert out.columns == ["doc_id", "source", "text", "cuts", "shard", "position"]
+    assert out.columns == ["doc_id", "source", "text", "cuts_", "shard", "position"]
     got = out.collect()
     assert {(r.shard, r.position): (r.doc_id, r.source, r.text) for r in got} == brute(rows, 8, 11)
     total = Counter(r[1] for r in rows)
