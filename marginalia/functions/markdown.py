@@ -126,13 +126,17 @@ def tags(text: str) -> list[tuple]:
     places = Places(text)
     code = code_ranges(text, places)
     out = []
+    opened = closed = seen = 0
+    final = text.rfind("]]")
     for m in TAG.finditer(text):
         start, end = m.start(1) - 1, m.end(1)
         after = text[end : end + 1]
         if (after and (after.isalnum() or after in "_/")) or in_code(start, code):
             continue
-        opened, closed = text.rfind("[[", 0, start), text.rfind("]]", 0, start)
-        if opened > closed and text.find("]]", start) >= 0:
+        # The last brackets before this tag, found from the last tag on: 0 for none, else one more than where they stand.
+        opened, closed = (max(was, text.rfind(mark, max(0, seen - 1), start) + 1) for mark, was in (("[[", opened), ("]]", closed)))
+        seen = start
+        if opened > closed and final >= start:
             continue
         out.append((f"#{m[1]}", *places.span(start, end)))
     return out

@@ -20,6 +20,8 @@ TASK = "line int, raw string, marker string, symbol string, description string,
 NODE = "node_id int, parent_id int, depth int, ordinal int, node_type string, line int, marker string, symbol string, text string, metadata map<string,string>, block_id string"
 EDGE = f"{LINK}, context string"
 
+#: Rows that are held as tuples before they go on as one batch.
+ROWS_A_BATCH = 20_000
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
@@ -39,14 +41,20 @@ def relation(notes: DataFrame, parse: Callable[[str], list[tuple]], schema: str,
     kinds = [(f.name, _arrow(f.dataType)) for f in full]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(_cells(c, k), k) for c, (_, k) in zip(columns, kinds)], [n for n, _ in kinds])
+
         for batch in batches:
             out: list[tuple] = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if content is not None:
                     found = parse(content)
                     out += [(path, i, *r) for i, r in enumerate(found)] if order else [(path, *r) for r in found]
-            columns = list(zip(*out)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(_cells(c, k), k) for c, (_, k) in zip(columns, kinds)], [n for n, _ in kinds])
+                if len(out) >= ROWS_A_BATCH:
+                    yield made(out)
+                    out = []
+            yield made(out)
 
     return notes.select("path", "content").mapInArrow(run, full)
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import extract
 from .notes import name
 
-#: Rows of an index that are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
 MEDIA = {
     "image": ("png", "jpg", "jpeg", "gif", "webp", "svg", "bmp"),
     "audio": ("mp3", "wav", "ogg", "m4a", "flac"),
@@ -23,11 +21,6 @@ def order_of(path: str | Column) -> Column:
     return F.split(F.col(path) if isinstance(path, str) else path, "/")
 
 
-def checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it is counted to be small; otherwise the optimizer chooses."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def media_type(target: Column) -> Column:
     """image, audio, video or pdf by the extension; null for anything else."""
     extension = F.lower(F.regexp_extract(target, r"\.([^./]+)\z", 1))
@@ -60,12 +53,16 @@ def name_index(notes: DataFrame, last: bool = True) -> DataFrame:
 
 
 def resolved(edges: DataFrame, notes: DataFrame, frontmatter: DataFrame, last: bool = True) -> DataFrame:
-    """`edges` with resolved_path: an exact path for targets with a slash, else a note's name, else an alias."""
+    """`edges` with resolved_path: an exact path for targets with a slash, else a note's name, else an alias.
+
+    Three equi-joins with the indexes; whether one is broadcast is left to the sizes that
+    adaptive execution sees, so that no job runs while this is planned.
+    """
     pick = F.max_by if last else F.min_by
     target = F.split_part("target", F.lit("#"), F.lit(1))
-    exact = checked(notes.select(F.col("path").alias("exact")))
-    stems = checked(name_index(notes, last).select(F.col("stem").alias("key_s"), F.col("path").alias("by_stem")))
-    known = checked(aliases(frontmatter).groupBy(F.col("alias")).agg(pick("path", order_of("path")).alias("by_alias")))
+    exact = notes.select(F.col("path").alias("exact"))
+    stems = name_index(notes, last).select(F.col("stem").alias("key_s"), F.col("path").alias("by_stem"))
+    known = aliases(frontmatter).groupBy(F.col("alias")).agg(pick("path", order_of("path")).alias("by_alias"))
     full = F.when(F.contains(target, F.lit("/")), F.when(target.endswith(".md"), target).otherwise(F.concat(target, F.lit(".md"))))
     stem = F.regexp_replace(F.lower(target), r"\.md\z", "")
     out = edges.withColumn("__f", full).withColumn("__s", stem).withColumn("__a", F.lower(target))
@@ -74,6 +71,16 @@ def resolved(edges: DataFrame, notes: DataFrame, frontmatter: DataFrame, last: b
     return out.select(*edges.columns, F.coalesce("exact", "by_stem", "by_alias").alias("resolved_path"))
 
 
+def save(notes: DataFrame, path: str, last: bool = True) -> None:
+    """Keeps the link graph of a collection as Parquet under `path`: every link with its resolution, extracted once for all reports."""
+    resolved(extract.edges(notes), notes, extract.frontmatter(notes), last).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The edges that `save` kept."""
+    return spark.read.parquet(path)
+
+
 def outgoing(notes: DataFrame, frontmatter: DataFrame | None = None) -> DataFrame:
     """All edges with their resolution."""
     return resolved(extract.edges(notes), notes, frontmatter if frontmatter is not None else extract.frontmatter(notes))
@@ -87,7 +94,7 @@ def incoming(edges: DataFrame, notes: DataFrame) -> DataFrame:
     """
     strip = lambda c: F.regexp_replace(F.lower(c), r"\.md\z", "")
     keys = notes.select("path", F.posexplode(F.array_distinct(F.array(strip(F.col("path")), F.lower(name())))).alias("key_ord", "key"))
-    met = edges.join(checked(keys), F.col("target_key") == F.col("key"))
+    met = edges.join(keys, F.col("target_key") == F.col("key"))
     first = Window.partitionBy("path", "from", "line", "start_col").orderBy("key_ord", "ord")
     return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "key", "key_ord")
 
@@ -106,7 +113,8 @@ def resolve_note(notes: DataFrame, frontmatter: DataFrame, queries: DataFrame) -
     """
     asked = queries.select("query").distinct().withColumn("__key", F.lower("query"))
     full = F.when(F.col("query").endswith(".md"), F.col("query")).otherwise(F.concat("query", F.lit(".md")))
-    exact = asked.join(notes.select("path"), (F.col("path") == full) | (F.col("path") == F.col("query"))).select("query", "path", F.lit("path").alias("match_type"), F.lit(0).alias("rank"))
+    tried = asked.select("query", F.explode(F.array_distinct(F.array(full, F.col("query")))).alias("path"))
+    exact = tried.join(notes.select("path"), "path").select("query", "path", F.lit("path").alias("match_type"), F.lit(0).alias("rank"))
     named = asked.join(notes.select("path", F.lower(name()).alias("key")), F.col("__key") == F.col("key")).select("query", "path", F.lit("name").alias("match_type"), F.lit(1).alias("rank"))
     known = asked.join(aliases(frontmatter, scalar=False), F.col("__key") == F.col("alias")).select("query", "path", F.lit("alias").alias("match_type"), F.lit(1).alias("rank"))
     every = exact.unionByName(named).unionByName(known).groupBy("query", "path").agg(F.min("rank").alias("rank"), F.min_by("match_type", F.struct("rank", F.col("match_type") != "name")).alias("match_type"))

@@ -19,15 +19,20 @@ def merged(notes: DataFrame, frontmatter: DataFrame | None = None, inline: DataF
     """(path, key, source, values): a key of the frontmatter hides inline ones; several inline values make a list."""
     front = frontmatter_properties(frontmatter if frontmatter is not None else extract.frontmatter(notes))
     inline = inline if inline is not None else extract.inline_properties(notes)
-    grouped = inline.groupBy("path", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "value"))), lambda x: x["value"]).alias("values"))
-    own = front.select("path", "key", F.lit("frontmatter").alias("source"), F.array("value").alias("values"))
-    rest = grouped.join(front.select("path", "key"), ["path", "key"], "left_anti").select("path", "key", F.lit("inline").alias("source"), "values")
-    return own.unionByName(rest)
+    # One grouping of both kinds; each is extracted once.
+    rows = inline.select("path", "key", F.col("index"), "value", F.lit(False).alias("front"))
+    rows = rows.unionByName(front.select("path", "key", F.lit(-1).alias("index"), "value", F.lit(True).alias("front")))
+    grouped = rows.groupBy("path", "key").agg(F.array_sort(F.collect_list(F.struct("index", "value", "front"))).alias("all"))
+    first = F.col("all")[0]["front"]
+    kept = F.when(first, F.slice("all", 1, 1)).otherwise(F.col("all"))
+    return grouped.select("path", "key", F.when(first, "frontmatter").otherwise("inline").alias("source"), F.transform(kept, lambda x: x["value"]).alias("values"))
 
 
 def one(notes: DataFrame, key: str) -> DataFrame:
     """The property `key` of each note that has it."""
-    return merged(notes).where(F.col("key") == key)
+    front, inline = extract.frontmatter(notes), extract.inline_properties(notes)
+    # Both sides are cut down before they meet.
+    return merged(notes, front.where(F.map_contains_key("fm_text", key)), inline.where(F.col("key") == key)).where(F.col("key") == key)
 
 
 def collected_inline(inline: DataFrame) -> DataFrame:

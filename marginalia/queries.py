@@ -77,8 +77,9 @@ _EDGES = _LINKS + r"""
     CASE WHEN regexp_matches(txt, '^\s*- \[[ xX>/-]\]') THEN 'task' ELSE 'body' END AS context FROM lk
   UNION ALL SELECT doc_id, path, 1, 0, 0, strlen(x), false, regexp_extract(x, '\[\[([^\]|#]+)', 1), NULL, NULL, NULL, 'frontmatter:related' FROM re)
 , st AS (SELECT lower(regexp_extract(path, '([^/]+)\.md$', 1)) AS stem, path AS to_path FROM notes)
-, eg AS (SELECT eg0.*, to_path, regexp_replace(lower(target), '\.md$', '') AS target_key, row_number() OVER (PARTITION BY frm ORDER BY part, line, start_col) - 1 AS ord
-    FROM eg0 LEFT JOIN st ON stem = regexp_replace(lower(target), '\.md$', ''))
+, al AS (SELECT alias, arg_max(path, string_split(path, '/')) AS al_path FROM (SELECT path, lower(regexp_extract(yaml, 'aliases:\n  - (.*)\n', 1)) AS alias FROM ok) GROUP BY alias)
+, eg AS (SELECT eg0.*, coalesce(ex.path, st.to_path, al_path) AS to_path, regexp_replace(lower(target), '\.md$', '') AS target_key, row_number() OVER (PARTITION BY frm ORDER BY part, line, start_col) - 1 AS ord
+    FROM eg0 LEFT JOIN notes ex ON contains(target, '/') AND ex.path = regexp_replace(target, '\.md$', '') || '.md' LEFT JOIN st ON stem = regexp_replace(lower(target), '\.md$', '') LEFT JOIN al ON al.alias = lower(target))
 """
 _MEDIA = r"regexp_matches(lower(target), '\.(png|jpe?g|gif|webp|svg|bmp|mp3|wav|ogg|m4a|flac|mp4|webm|mov|avi|pdf)$')"
 _TAGS = _LINES + r"""
@@ -139,7 +140,7 @@ query("a9b_frontmatter_status", "SELECT path, CASE WHEN NOT has THEN 'absent' WH
 
 # Extraction.
 query("b1_split_frontmatter", "SELECT path, CASE WHEN has THEN yaml END AS yaml, body, begins FROM bd JOIN fm USING (doc_id, path)", _BODY)(lambda v: parts.accessors(v.notes).select("path", F.col("frontmatter_raw").alias("yaml"), "body", F.col("body_start_line").alias("begins")))
-query("b4_code_ranges", "SELECT path, min(line) AS start_line, max(line) AS end_line FROM (SELECT *, sum(CASE WHEN starts_with(txt, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS g FROM ln0) WHERE g % 2 = 1 OR starts_with(txt, '```') GROUP BY path", _LINES)(lambda v: extract.code_ranges(v.notes).where("is_fenced").select("path", "start_line", "end_line"))
+query("b4_code_ranges", "SELECT path, min(line) AS start_line, max(line) AS end_line, true AS is_fenced FROM (SELECT *, sum(CASE WHEN starts_with(txt, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS g FROM ln0) WHERE g % 2 = 1 OR starts_with(txt, '```') GROUP BY path UNION ALL SELECT path, line, line, false FROM (SELECT path, line, unnest(regexp_extract_all(txt, '`[^`]+`')) FROM ln)", _LINES)(lambda v: extract.code_ranges(v.notes).select("path", "start_line", "end_line", "is_fenced"))
 query("b6_links", "SELECT path, row_number() OVER (PARTITION BY path ORDER BY line, start_col) - 1 AS ord, target, alias, heading, block_id, embed, line, start_col, end_col FROM lk", _LINKS)(lambda v: v.links)
 query("b7_embeds", "SELECT path, target, alias, line FROM lk WHERE embed", _LINKS)(lambda v: extract.embeds(v.notes).select("path", "target", "alias", "line"))
 query("b8_media_types", f"SELECT CASE WHEN {_MEDIA} THEN 'image' ELSE 'none' END AS media, count(*) AS n FROM lk GROUP BY 1", _LINKS)(lambda v: v.links.groupBy(F.coalesce(graph.media_type(F.col("target")), F.lit("none")).alias("media")).agg(F.count("*").alias("n")))
@@ -148,7 +149,7 @@ query("b10_tags", "SELECT path, name, line, start_col FROM tg", _TAGS)(lambda v:
 query("b12_unique_tags", "SELECT DISTINCT path, name FROM tg", _TAGS)(lambda v: health.unique_tags(v.tags).select("path", "name"))
 query("b13_tag_roots", "SELECT path, '#' || split_part(substr(name, 2), '/', 1) AS root, string_agg(name, ',' ORDER BY line, start_col) AS tags FROM tg GROUP BY 1, 2", _TAGS)(lambda v: health.tag_roots(v.tags).select("path", "root", F.array_join("tags", ",").alias("tags")))
 query("b14_tag_ancestors", "SELECT DISTINCT name, CASE WHEN contains(name, '/') THEN regexp_extract(name, '^([^/]*)/', 1) ELSE '' END AS above FROM tg", _TAGS)(lambda v: v.tags.select("name").distinct().select("name", F.array_join(health.tag_ancestors(F.col("name")), ",").alias("above")))
-query("b15_headings_slugs", "SELECT path, text, level, line, regexp_replace(lower(text), ' ', '-', 'g') AS slug FROM hd", _HEADINGS)(lambda v: v.headings)
+query("b15_headings_slugs", "SELECT path, text, level, line, slug || CASE WHEN n > 1 THEN '-' || (n - 1) ELSE '' END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY path, slug ORDER BY line) AS n FROM (SELECT *, regexp_replace(lower(text), ' ', '-', 'g') AS slug FROM hd))", _HEADINGS)(lambda v: v.headings)
 query("b18_heading_by_text", "SELECT path, min(line) AS line FROM hd WHERE lower(text) = 'tasks' GROUP BY path", _HEADINGS)(lambda v: v.headings.where(F.lower("text") == "tasks").groupBy("path").agg(F.min("line").alias("line")))
 query("b19_heading_levels", "SELECT level, count(*) AS n FROM hd WHERE level BETWEEN 1 AND 2 GROUP BY level", _HEADINGS)(lambda v: v.headings.where("level BETWEEN 1 AND 2").groupBy("level").agg(F.count("*").alias("n")))
 query("b20_heading_tree", "SELECT a.path, a.text, a.line, max(b.line) AS parent_line FROM hd a LEFT JOIN hd b ON a.path = b.path AND b.line < a.line AND b.level < a.level GROUP BY ALL", _HEADINGS)(lambda v: health.heading_parents(v.headings).select("path", "text", "line", "parent_line"))
@@ -159,9 +160,9 @@ query("b27_tasks", "SELECT path, line, marker, symbol, indent, description, bloc
 query("b30_task_metadata", "SELECT path, line, due, priority, tid FROM tk", _TASKS)(lambda v: v.tasks.select("path", "line", F.col("metadata")["due"].alias("due"), F.col("metadata")["priority"].alias("priority"), F.col("metadata")["id"].alias("tid")))
 query("b32_task_parents", "SELECT a.path, a.line, max(b.line) AS parent_line FROM tk a LEFT JOIN tk b ON a.path = b.path AND b.line < a.line AND b.indent < a.indent AND NOT EXISTS (SELECT 1 FROM tk c WHERE c.path = a.path AND c.line > b.line AND c.line < a.line AND c.indent <= b.indent) GROUP BY ALL", _TASKS)(lambda v: v.tasks.select("path", "line", "parent_line"))
 query("b33_task_tree_nodes", r"SELECT path, line, (length(regexp_extract(txt, '^(\s*)', 1)) // 4) AS depth, CASE WHEN regexp_matches(txt, '^\s*[-*+] \[.\] ') THEN 'task' ELSE 'text' END AS node_type FROM ln WHERE regexp_matches(txt, '^\s*[-*+] ') AND (regexp_matches(txt, '^\s*[-*+] \[.\] ') OR starts_with(txt, ' ')) AND line > (SELECT max(h.line) FROM ln h WHERE h.path = ln.path AND h.txt = '## Tasks')", _LINES)(lambda v: extract.task_nodes(v.notes).select("path", "line", "depth", "node_type"))
-query("b34_format_task", "SELECT path, line, marker || ' ' || symbol || ' ' || description || coalesce(' 📅 ' || due, '') || coalesce(' 🆔 ' || tid, '') AS text FROM tk WHERE priority IS NULL", _TASKS)(lambda v: v.tasks.where("NOT map_contains_key(metadata, 'priority')").select("path", "line", rewrite.format_tasks(v.tasks).alias("text")))
-query("b34_format_tree")(lambda v: extract.formatted_trees(v.notes))
-query("b35_relative_dates", "SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN DATE '2024-03-15' WHEN 1 THEN DATE '2024-03-16' WHEN 2 THEN DATE '2024-03-15' - CAST(7 * (doc_id % 9) AS INTEGER) WHEN 3 THEN DATE '2024-03-15' + CAST(30 * (doc_id % 9) AS INTEGER) END AS STRING) AS day FROM notes")(
+query("b34_format_task", "SELECT path, line, marker || ' ' || symbol || ' ' || description || coalesce(' 📅 ' || due, '') || coalesce(' 🆔 ' || tid, '') || CASE WHEN priority = 'highest' THEN ' 🔺 🔼' ELSE '' END AS text FROM tk", _TASKS)(lambda v: v.tasks.select("path", "line", rewrite.format_tasks(v.tasks).alias("text")))
+query("b34_format_tree", r"SELECT path, string_agg(repeat('    ', indent) || text, chr(10) ORDER BY line) AS tree FROM (SELECT path, line, indent, marker || ' ' || symbol || ' ' || description || coalesce(' 📅 ' || due, '') || coalesce(' 🆔 ' || tid, '') || CASE WHEN priority = 'highest' THEN ' 🔺 🔼' ELSE '' END AS text FROM tk UNION ALL SELECT path, line, length(regexp_extract(txt, '^(\s*)', 1)) // 4, ltrim(txt) FROM ln WHERE txt = '        - note under sub') GROUP BY path", _TASKS)(lambda v: extract.formatted_trees(v.notes))
+query("b35_relative_dates", "SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN DATE '2024-03-15' WHEN 1 THEN DATE '2024-03-16' WHEN 2 THEN DATE '2024-03-15' - CAST(7 * (doc_id % 9) AS INTEGER) WHEN 3 THEN DATE '2024-03-15' + CAST(30 * (doc_id % 9) AS INTEGER) END AS STRING) AS day FROM documents")(
     lambda v: v.spark.read.parquet(f"{v.sf_dir}/documents.parquet").select("doc_id", rewrite.relative_date(F.expr("CASE doc_id % 5 WHEN 0 THEN 'Today' WHEN 1 THEN 'tomorrow' WHEN 2 THEN concat('-', doc_id % 9, 'w') WHEN 3 THEN concat('+', doc_id % 9, 'm') ELSE 'soon' END"), F.lit("2024-03-15").cast("date")).alias("day"))
 )
 
@@ -189,21 +190,32 @@ query("d1_aliases", r"SELECT path, lower(regexp_extract(yaml, 'aliases:\n  - (.*
 query("d3_resolve", "SELECT frm AS source, target, line, to_path AS resolved_path FROM eg", _EDGES)(lambda v: v.edges.select(F.col("from").alias("source"), "target", "line", "resolved_path"))
 query("d4_outgoing", "SELECT frm AS source, ord, target, target_key, context, line, start_col, embed FROM eg", _EDGES)(lambda v: extract.edges(v.notes).select(F.col("from").alias("source"), "ord", "target", "target_key", "context", "line", "start_col", "embed"))
 query("d6_context_hist", "SELECT split_part(context, ':', 1) AS context, count(*) AS links FROM eg GROUP BY 1", _EDGES)(lambda v: graph.context_counts(v.edges))
-query("d8_incoming", "SELECT DISTINCT st.to_path AS path, frm AS source, line, start_col FROM eg JOIN st ON target_key = stem", _EDGES)(lambda v: graph.incoming(v.edges, v.notes).select("path", F.col("from").alias("source"), "line", "start_col"))
-query("d10_resolve_note", "SELECT 'Doc ' || doc_id AS query, 'found' AS status, path, 'name' AS match_type FROM notes UNION ALL SELECT 'Gone', 'not_found', NULL, NULL")(
-    lambda v: graph.resolve_note(v.notes, v.frontmatter, v.notes.select(parts.name().alias("query")).unionByName(v.spark.createDataFrame([("Gone",)], "query string"))).select("query", "status", "path", "match_type")
+query("d8_incoming", "SELECT DISTINCT st.to_path AS path, frm AS source, line, start_col FROM eg JOIN st ON target_key IN (stem, regexp_replace(lower(st.to_path), '[.]md$', ''))", _EDGES)(lambda v: graph.incoming(v.edges, v.notes).select("path", F.col("from").alias("source"), "line", "start_col"))
+query("d10_resolve_note", "SELECT query, CASE WHEN query = 'Doc 2' THEN 'ambiguous' ELSE 'found' END AS status, CASE WHEN query <> 'Doc 2' THEN path END AS path, CASE WHEN query <> 'Doc 2' THEN 'name' END AS match_type FROM (SELECT regexp_extract(path, '([^/]+)[.]md$', 1) AS query, path FROM notes) UNION ALL SELECT 'Gone', 'not_found', NULL, NULL UNION ALL SELECT 'x/Hub', 'found', 'x/Hub.md', 'path' UNION ALL SELECT 'hub-ALIAS', 'found', 'x/Hub.md', 'alias'")(
+    lambda v: graph.resolve_note(v.notes, v.frontmatter, v.notes.select(parts.name().alias("query")).unionByName(v.spark.createDataFrame([("Gone",), ("x/Hub",), ("hub-ALIAS",)], "query string"))).select("query", "status", "path", "match_type")
 )
-query("d13_backlinks", "SELECT DISTINCT st.to_path AS path, frm AS source, line FROM eg JOIN st ON target_key = stem WHERE NOT starts_with(context, 'frontmatter')", _EDGES)(lambda v: graph.backlinks(v.edges, v.notes, False).select("path", F.col("from").alias("source"), "line"))
+query("d13_backlinks", "SELECT DISTINCT st.to_path AS path, frm AS source, line FROM eg JOIN st ON target_key IN (stem, regexp_replace(lower(st.to_path), '[.]md$', '')) WHERE NOT starts_with(context, 'frontmatter')", _EDGES)(lambda v: graph.backlinks(v.edges, v.notes, False).select("path", F.col("from").alias("source"), "line"))
 query("d14_in_degree", "SELECT to_path AS path, count(*) AS links, count(DISTINCT frm) AS sources FROM eg WHERE to_path IS NOT NULL AND NOT embed GROUP BY 1", _EDGES)(lambda v: graph.in_degree(v.edges))
 query("d14_out_degree_top5", "SELECT frm AS path, count(*) AS links FROM eg WHERE to_path IS NOT NULL AND NOT embed GROUP BY 1 ORDER BY links DESC, string_split(frm, '/') LIMIT 5", _EDGES)(lambda v: graph.out_degree(v.edges).orderBy(F.desc("links"), F.split("path", "/")).limit(5))
 query("d14_orphans", "SELECT path FROM notes WHERE path NOT IN (SELECT to_path FROM eg WHERE to_path IS NOT NULL AND to_path <> frm)", _EDGES)(lambda v: graph.orphans(v.notes, v.edges))
 
 # Properties and identity.
-query("e1_merged_props", "SELECT path, key, string_agg(value, ',' ORDER BY line, start_col) AS vals FROM ip GROUP BY 1, 2 UNION ALL SELECT path, 'rating', regexp_extract(yaml, '(?m)^rating: (.*)$', 1) FROM ok UNION ALL SELECT path, 'status', regexp_extract(yaml, '(?m)^status: (.*)$', 1) FROM ok", _PROPS)(lambda v: properties.merged(v.notes, v.frontmatter, v.inline).where("key IN ('owner', 'score', 'rating', 'status')").select("path", "key", F.array_join("values", ",").alias("vals")))
+_FRONT = " UNION ALL ".join([
+    *(f"SELECT path, '{k}', regexp_extract(yaml, '(?m)^{k}: \"?([^\"\\n]*)\"?$', 1) FROM ok" for k in ("title", "rating", "status", "related")),
+    *(f"SELECT path, '{k}', rtrim(regexp_replace(regexp_extract(yaml, '{k}:\\n((?:  - .*\\n)+)', 1), '(?m)^  ', '', 'g'), chr(10)) FROM ok" for k in ("tags", "aliases")),
+    r"SELECT path, 'marginalia', 'id: ' || regexp_extract(yaml, '\n  id: (.*)\n', 1) || chr(10) || 'created: ' || regexp_extract(yaml, '\n  created: .(.*).$', 1) FROM ok WHERE contains(yaml, 'marginalia:')",
+])
+query("e1_merged_props", f"SELECT path, key, string_agg(value, ',' ORDER BY line, start_col) AS vals FROM ip GROUP BY 1, 2 UNION ALL {_FRONT}", _PROPS)(lambda v: properties.merged(v.notes, v.frontmatter, v.inline).select("path", "key", F.array_join("values", ",").alias("vals")))
 query("e2_property", "SELECT path, value FROM ip WHERE key = 'owner'", _PROPS)(lambda v: properties.one(v.notes, "owner").select("path", F.col("values")[0].alias("value")))
 query("e6_set_inline", r"SELECT path, regexp_replace(content, '\[score:: \d+\]', '[score::0]') AS content FROM notes")(lambda v: rewrite.set_property(v.notes, "score", 0, "inline").select("path", "content"))
 query("e4_rename_inline", r"SELECT path, regexp_replace(content, '\[owner::', '[holder::') AS content FROM notes")(lambda v: rewrite.rename_property(v.notes, "owner", "holder", "inline").select("path", "content"))
-query("e5_set_frontmatter")(lambda v: rewrite.set_property(v.notes, "reviewed", True))
+_EDITED = (
+    r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(fm.yaml, '(?m)^title: "(.*)"$', 'title: \1'), '(?m)^  - ', '- ', 'g'),"""
+    r""" '(?m)^related: "(.*)"$', 'related: ' || chr(39) || '\1' || chr(39)), '(?m)^  created: "(.*)"$', '  created: \1')"""
+)
+query("e5_set_frontmatter", f"SELECT path, CASE WHEN NOT has THEN '---' || chr(10) || 'reviewed: true' || chr(10) || '---' || chr(10) || content WHEN path NOT IN (SELECT path FROM ok) THEN content ELSE '---' || chr(10) || {_EDITED} || chr(10) || 'reviewed: true' || chr(10) || '---' || chr(10) || body END AS content, has AND path NOT IN (SELECT path FROM ok) AS failed FROM notes JOIN fm USING (doc_id, path) JOIN bd USING (doc_id, path)", _BODY)(
+    lambda v: rewrite.set_property(v.notes, "reviewed", True).select("path", "content", F.col("error").isNotNull().alias("failed"))
+)
 query("g2_metadata", r"SELECT path, regexp_extract(yaml, '\n  id: (.*)\n', 1) AS id, regexp_extract(yaml, '\n  created: .(.*).$', 1) AS created FROM ok WHERE contains(yaml, 'marginalia:')", _LINES)(lambda v: properties.metadata(v.frontmatter))
 query("g3_find_by_id", "SELECT path FROM ok WHERE contains(yaml, '  id: id-16' || chr(10))", _LINES)(lambda v: properties.find_by_id(v.frontmatter, "id-16"))
 
@@ -216,7 +228,7 @@ query("f6_remove_frontmatter", "SELECT path, body AS content FROM bd", _BODY)(la
 # Reports.
 query("h1_list_filters", "SELECT ok.path FROM ok WHERE regexp_matches(yaml, '(?m)^status: done$') AND path IN (SELECT path FROM tg WHERE name = '#lang/en')", _TAGS)(lambda v: health.listing(v.notes, tags=v.tags, with_tags=("lang/en",), frontmatter=v.frontmatter, where=("status", "done")).select("path"))
 query("h3_tag_prefix", "SELECT DISTINCT path FROM tg WHERE starts_with(name, '#lang/')", _TAGS)(lambda v: health.tagged(v.notes, v.tags, every=("lang",)).select("path"))
-query("h6_embeds", "SELECT frm AS source, line, target, 'image' AS media_type, 400 AS width, 300 AS height FROM eg WHERE embed", _EDGES)(lambda v: graph.embeds(v.edges).select(F.col("from").alias("source"), "line", "target", "media_type", "width", "height"))
+query("h6_embeds", f"SELECT frm AS source, line, target, CASE WHEN {_MEDIA} THEN 'image' ELSE 'note' END AS media_type, CASE WHEN {_MEDIA} THEN 400 END AS width, CASE WHEN {_MEDIA} THEN 300 END AS height FROM eg WHERE embed", _EDGES)(lambda v: graph.embeds(v.edges).select(F.col("from").alias("source"), "line", "target", "media_type", "width", "height"))
 query("h7_tag_counts_nested", "SELECT name, count(*) AS n, count(DISTINCT path) AS notes FROM (SELECT path, name FROM tg UNION ALL SELECT path, regexp_extract(name, '^([^/]*)/', 1) FROM tg WHERE contains(name, '/')) GROUP BY name", _TAGS)(lambda v: health.tag_counts(v.tags, nested=True))
 query("h8_block_refs", "SELECT to_path AS path, block_id, frm AS source, line FROM eg WHERE block_id IS NOT NULL AND to_path IS NOT NULL", _EDGES)(lambda v: graph.block_refs(v.edges).select(F.col("resolved_path").alias("path"), "block_id", F.col("from").alias("source"), "line"))
 query("h9_section", "SELECT path, string_agg(txt, chr(10) ORDER BY line) AS section FROM ln0 JOIN (SELECT path, min(line) AS first FROM ln WHERE txt = '## Tasks' GROUP BY path) USING (path) JOIN (SELECT path, max(line) AS last FROM ln0 GROUP BY path) USING (path) WHERE line >= first AND line < last GROUP BY path", _LINES)(lambda v: health.sections(v.notes, v.headings, slug="tasks").select("path", "section"))
@@ -247,7 +259,7 @@ query("h17_rename_with_links", r"SELECT CASE WHEN path LIKE '%/Doc 10.md' THEN '
     lambda v: rewrite.rename_with_links(v.notes, v.edges, v.notes.where("path LIKE '%/Doc 10.md'").select("path", F.lit("archive/Old 10.md").alias("new_path")))
 )
 query("h19_cypher", "SELECT 'node' AS kind, 'CREATE (:Note {path: ''' || path || ''', name: ''' || regexp_extract(path, '([^/]+)[.]md$', 1) || '''})' AS statement FROM notes UNION ALL SELECT 'edge', 'MATCH (a:Note {path: ''' || frm || '''}), (b:Note {path: ''' || to_path || '''}) CREATE (a)-[:LINKS_TO {context: ''' || context || '''}]->(b)' FROM eg WHERE to_path IS NOT NULL", _EDGES)(lambda v: graph.cypher(v.notes, v.edges))
-query("h19_json_ld")(lambda v: graph.json_ld(v.notes, v.edges))
+query("h19_json_ld", "SELECT path, '{\"@type\":\"Note\",\"@id\":\"' || path || '\",\"name\":\"' || regexp_extract(path, '([^/]+)[.]md$', 1) || '\",\"links\":[' || coalesce(links, '') || ']}' AS json FROM notes LEFT JOIN (SELECT frm AS path, string_agg('\"' || to_path || '\"', ',' ORDER BY to_path) AS links FROM (SELECT DISTINCT frm, to_path FROM eg WHERE to_path IS NOT NULL) GROUP BY frm) USING (path)", _EDGES)(lambda v: graph.json_ld(v.notes, v.edges))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

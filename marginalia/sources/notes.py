@@ -37,6 +37,16 @@ def listed(root: str, hidden: bool = False, prefix: str = "") -> list[str]:
     return sorted(out, key=lambda p: p.split("/"))
 
 
+def reachable(root: str, path: str, hidden: bool) -> bool:
+    """Whether a listing of root has this path: a Markdown file below it, by its plain name, and not hidden unless asked for."""
+    parts = path.split("/")
+    if not path.endswith(".md") or any(p in ("", ".", "..") for p in parts) or (not hidden and any(p.startswith(".") for p in parts)):
+        return False
+    folder = Path(root)
+    # Listing doesn't follow links to folders.
+    return os.path.isfile(folder / path) and not any((folder / "/".join(parts[:i])).is_symlink() for i in range(1, len(parts)))
+
+
 def head_of(path: Path) -> str:
     """A file's text up to the end of its frontmatter; all of it if that doesn't end."""
     with path.open(encoding="utf-8", newline="") as f:
@@ -77,7 +87,7 @@ class NotesReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.exact is not None:
-            paths = [self.exact] if self.exact.endswith(".md") and os.path.isfile(os.path.join(self.root, self.exact)) else []
+            paths = [self.exact] if reachable(self.root, self.exact, self.hidden) else []
         else:
             paths = listed(self.root, self.hidden, self.prefix)
         return [Files(paths[i : i + FILES_PER_TASK]) for i in range(0, len(paths), FILES_PER_TASK)] or [Files([])]

@@ -41,14 +41,28 @@ _TASKS = _text(
 
 CONTENT = _text("CASE WHEN doc_id % 13 = 0 THEN '' ELSE " + _YAML + " END", "'# Doc '", _n("doc_id"), "chr(10)", "text", "chr(10)", _LINKS, _TASKS)
 
+
+def _front(title: str, rating: int, status: str, alias: str, related: str) -> str:
+    return f'---\ntitle: "{title}"\nrating: {rating}\nstatus: {status}\ntags:\n  - lone\naliases:\n  - {alias}\nrelated: "[[{related}]]"\n---\n'
+
+
+#: Notes with what the documents' own lack: links by path and by alias, links to nothing, one block id twice, no body, no note that links there.
+PLANTED = {
+    "x/Lonely.md": _front("L", 4, "open", "Doc 2", "x/Hub") + "# Lonely\n![[Gone note]]\nto [[x/Hub#Nowhere]] and [[Hub#^nope]]\n[[x/Hub]] [[x/Hub.md|by path]] [[HUB-ALIAS]] [[Hub.md]]\n[[x/Away]]\n",
+    "x/Hub.md": _front("H", 1, "done", "Hub-alias", "Doc 1") + "# Hub\none part ^same\ntwo parts ^same\n## Part\n## Part\n",
+    "x/Empty.md": _front("E", 2, "open", "empty-alias", "Hub"),
+}
+_QUOTED = ", ".join(f"({-i}, '{path}', '{content.replace(chr(10), '~')}')" for i, (path, content) in enumerate(PLANTED.items(), 1))
 #: Begins every oracle: notes(doc_id, path, content).
 SQL = f"""WITH m AS (SELECT max(doc_id) + 1 AS m FROM documents
-), notes AS (SELECT doc_id, {PATH} AS path, {CONTENT} AS content FROM documents CROSS JOIN m)
+), notes AS (SELECT doc_id, {PATH} AS path, {CONTENT} AS content FROM documents CROSS JOIN m
+  UNION ALL SELECT id, path, replace(body, '~', chr(10)) FROM (VALUES {_QUOTED}) AS planted(id, path, body))
 """
 
 
 def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """notes(path, content) of all documents; links among them need the greatest doc_id, which is read first."""
+    """notes(path, content) of all documents, and those of PLANTED; links among them need the greatest doc_id, which is read first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     m = (docs.selectExpr("max(doc_id) + 1 AS m").first()[0]) or 1
-    return docs.selectExpr("doc_id", "lang", "source", "text", f"CAST({m} AS BIGINT) AS m").selectExpr(f"{PATH} AS path", f"{CONTENT} AS content")
+    made = docs.selectExpr("doc_id", "lang", "source", "text", f"CAST({m} AS BIGINT) AS m").selectExpr(f"{PATH} AS path", f"{CONTENT} AS content")
+    return made.unionByName(spark.createDataFrame(list(PLANTED.items()), "path string, content string"))

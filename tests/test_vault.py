@@ -132,3 +132,29 @@ def test_queries_equal_their_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_pushed_path_is_one_that_a_listing_has(spark, tmp_path):
+    root = tmp_path / "vault"
+    for name in ("a.md", ".h/x.md", "sub/.y.md", "sub/b.md"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (tmp_path / "out.md").write_text("secret")
+    (root / "away").symlink_to(tmp_path)
+    notes = source.read(spark, str(root))
+    for path, there in (("a.md", 1), ("sub/b.md", 1), (".h/x.md", 0), ("sub/.y.md", 0), ("../out.md", 0), ("sub/../a.md", 0), ("./a.md", 0), (str(tmp_path / "out.md"), 0), ("away/out.md", 0), ("gone.md", 0)):
+        assert notes.where(F.col("path") == path).count() == there, path
+    assert source.read(spark, str(root), hidden="true").where("path = '.h/x.md'").count() == 1
+
+
+def test_resolution_plans_without_jobs_or_loops(spark, tmp_path):
+    notes = spark.createDataFrame([("a/One.md", "---\naliases: [uno]\n---\n[[Two]] [[uno]] [[a/One]]"), ("Two.md", "[[One]]")], "path string, content string")
+    front = extract.frontmatter(notes)
+    asked = spark.createDataFrame([("a/One",), ("Two.md",), ("UNO",), ("none",)], "query string")
+    found = graph.resolve_note(notes, front, asked)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {(r.query, r.status, r.path) for r in found.collect()} == {("a/One", "found", "a/One.md"), ("Two.md", "found", "Two.md"), ("UNO", "found", "a/One.md"), ("none", "not_found", None)}
+    graph.save(notes, f"{tmp_path}/graph")
+    kept = graph.load(spark, f"{tmp_path}/graph")
+    assert sorted((r["from"], r.resolved_path) for r in kept.collect()) == [("Two.md", "a/One.md"), ("a/One.md", "Two.md"), ("a/One.md", "a/One.md"), ("a/One.md", "a/One.md")]
