@@ -1,10 +1,12 @@
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm import packing, quality
 from marginalia.llm.text import flat
-from tests.llm.test_setsim import expected_pairs, kept_lines
+from tests.llm.test_setsim import expected_classes, kept_lines
 
 
 def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
@@ -18,12 +20,8 @@ def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
     p = net.score(*flat(pa.array([t for _, t in rows], pa.large_string())))
     rows = [r for r, x in zip(rows, p) if x >= quality.KEEP_AT]
     rows = sorted(kept_lines(rows).items())
-    head = {i: i for i, _ in rows}
-    pairs = expected_pairs(rows)
-    for _ in rows:
-        for a, b in pairs:
-            head[a] = head[b] = min(head[a], head[b])
-    rows = [r for r in rows if head[r[0]] == r[0]]
+    found = expected_classes(rows)
+    rows = [r for r in rows if found[r[0]][0] == r[0]]
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert sorted(set(got.doc_id)) == sorted(i for i, t in rows if t.split())
     assert got.groupby("doc_id").n_tokens.sum().to_dict() == {i: len(t.split()) for i, t in rows if t.split()}
@@ -33,6 +31,20 @@ def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
     assert 10 < len(rows) < 120 and np.isfinite(p).all()
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", None, 0), (None, "lost words", None, "s", 10), (3, "a line of words", "en", "s", 15), (3, "a line of words", "en", "s", 15), (4, "a line of words", "de", "s", 15)]])
+def test_odd_rows_pass_all_stages(spark, tmp_path, rows):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame(rows, docs.schema)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    named = docs.join(labels, "doc_id", "left_semi").withColumn("doc_id", F.col("doc_id") + 1000) if rows else docs.limit(0)
+    odd.unionByName(named).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    (labels.withColumn("doc_id", F.col("doc_id") + 1000) if rows else labels.limit(0)).coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    kept = [r.doc_id for r in got.where("doc_id < 1000 or doc_id is null").collect()]
+    assert set(kept) <= {None, 3} and kept.count(4) == 0
+    assert rows or got.count() == 0
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
