@@ -116,9 +116,13 @@ def compared(texts: DataFrame, hits: DataFrame, base: str) -> DataFrame:
     fetched = texts_at(texts, asked).select("locator", "first_locator", "text")
     # Equal bytes throughout a group means that its least and greatest texts are one text; both are found before anything is shuffled.
     odd = scratch.written(fetched.groupBy("first_locator").agg((F.min("text") != F.max("text")).alias("odd")).where("odd").select("first_locator"), "odd")
-    firsts = fetched.where("locator = first_locator").join(odd, "first_locator").select("first_locator", F.col("text").alias("first_text"))
-    other = fetched.where("locator != first_locator").join(firsts, "first_locator").where("text != first_text").select("locator", F.lit(False).alias("same"))
-    fresh.join(other, "locator", "left").select("locator", "first_locator", F.coalesce("same", F.lit(True)).alias("same")).write.mode("append").parquet(path)
+    same = fresh.withColumn("same", F.lit(True))
+    if odd.head(1):
+        fetched = texts_at(texts, asked.join(odd, "first_locator").select("locator", "first_locator"))
+        firsts = fetched.where("locator = first_locator").select("first_locator", F.col("text").alias("first_text"))
+        other = fetched.where("locator != first_locator").join(firsts, "first_locator").where("text != first_text").select("locator", F.lit(False).alias("equal"))
+        same = fresh.join(other, "locator", "left").select("locator", "first_locator", F.coalesce("equal", F.lit(True)).alias("same"))
+    same.write.mode("append").parquet(path)
     return spark.read.schema(_COMPARED).parquet(path)
 
 
