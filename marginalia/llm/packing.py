@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe, scratch
-from .text import blocks, flat, words
+from .text import blocks, flat, spans
 
 #: Pieces that are packed together; groups are by hash of doc_id, so that they don't depend on order or partitioning.
 GROUP_PIECES = 4096
@@ -84,7 +84,7 @@ def counted(shared, longest: int):
             at, raw = flat(texts)
             for low, high in blocks(at, bpe.BATCH_BYTES):
                 cuts = at[low : high + 1] - at[low]
-                starts, _, _ = words(raw[at[low] : at[high]], cuts)
+                starts, _ = spans(raw[at[low] : at[high]], cuts)
                 bounds = np.searchsorted(starts, cuts)
                 rows = encoder.rows(texts.slice(low, high - low).to_pylist())
                 row, first, n_ids, first_word = [], [], [], []

@@ -79,12 +79,12 @@ def blocks(at: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         low = high
 
 
-def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of `data`, and their hashes; no word crosses a cut (sorted offsets)."""
+def spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of `data`; no word crosses a cut (sorted offsets)."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64)
+        return none, none
     space = _SPACE[data]
     head = np.empty(n, dtype=bool)
     head[0] = True
@@ -96,7 +96,12 @@ def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     tail[-1] = True
     tail[:-1] = space[1:]
     tail[inner - 1] = True
-    ends = np.flatnonzero(tail & ~space) + 1
+    return starts, np.flatnonzero(tail & ~space) + 1
+
+
+def words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of `data` and the hashes of their words."""
+    starts, ends = spans(data, cuts)
     return starts, ends, hashed(data, starts, ends, _BYTE, 0)
 
 
