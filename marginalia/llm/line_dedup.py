@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .setsim import CLASSES, COPIES, Rule, candidates, verified
+from .setsim import CLASSES, COPIES, Rule, candidates, further, verified
 
 THRESHOLD = 0.8
 _BLANK = " \t\n\r\x0b\x0c"
@@ -22,7 +22,7 @@ def late(known: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordB
     order = np.empty(len(known), np.int64)
     order[np.lexsort((known[:, 2], known[:, 3], known[:, 1]))] = np.arange(len(known))
     row = known[np.unique(np.where(order[a] < order[b], b, a))]
-    yield pa.RecordBatch.from_arrays([pa.array(row[:, 1]), pa.array(row[:, 2]), pa.array(row[:, 3].astype(np.int32))], ["doc_id", "mark", "line"])
+    yield pa.RecordBatch.from_arrays([pa.array(row[:, 0]), pa.array(row[:, 1]), pa.array(row[:, 2]), pa.array(row[:, 3].astype(np.int32))], ["one", "doc_id", "mark", "line"])
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -31,15 +31,24 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     A line goes if any earlier line, in the order of doc_id and place, has a similarity of
     at least the threshold with it, whether or not that one goes too.  Of the lines of one
     set all but the first go without being compared; the first goes if the set has an
-    earlier one like it.
+    earlier one like it.  One such is enough: a few candidates of each set are verified
+    first, and all others only of the sets that none of these settles.
     """
     rule = Rule("line", 1, threshold, False)
     found = candidates(docs, rule)
     firsts = found.records.where(F.col("kind") == CLASSES).select("one", "doc_id", "mark", "line", F.lit(0).alias("weight"))
     copies = found.records.where(F.col("kind") == COPIES).select("doc_id", "mark", "line")
-    near = verified(docs, found, firsts, rule, late, "doc_id long, mark long, line int")
-    gone = scratch.written(copies.unionByName(near).groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines")), "gone")
+    found_rows = "one long, doc_id long, mark long, line int"
+    near = scratch.written(verified(docs, found, firsts, rule, late, found_rows), "near")
+    rest = further(found, near)
+    lines = copies.unionByName(near.select("doc_id", "mark", "line"))
+    if rest is not None:
+        lines = lines.unionByName(verified(docs, rest, firsts, rule, late, found_rows).select("doc_id", "mark", "line"))
+    gone = scratch.written(lines.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines")), "gone")
+    scratch.discard(near)
     found.discard()
+    if rest is not None:
+        rest.discard()
     return gone
 
 

@@ -13,6 +13,11 @@ digest, where the first of each set is found.  What comes out are pairs of diges
 pass the filters.  Verification brings the texts of a cluster together once, not once for
 every pair, and compares whole sets, by 128 bits of hash for each token.
 
+Lines ask less: whether any earlier line is similar.  A cluster of c lines has c * c / 2
+pairs, so each list passes on only a few earlier sets for each set, and notes where there
+may be more.  Sets that none of these settles ask those lists again, for all that is
+earlier, with more bits to filter by.
+
 No step broadcasts what grows with the input; each one's partitions follow from counts.
 """
 
@@ -36,6 +41,8 @@ FREQUENT = 1_000_000
 FLOOR = 4
 #: Postings that one task joins, postings that a batch gathers before it sends them, and postings' matches asked for at most.
 RANGE_POSTINGS, SENT_POSTINGS, MOST_MATCHES = 3_000_000, 600_000, 8
+#: Earlier sets that a list passes on for one set before it is asked again, words of parity bits when it is, and slots of the tables of what is asked.
+EARLIER, PARITIES, SLOT_BITS = 2, 4, 24
 #: Tokens that stand for a prefix, so that a pair of near copies goes on from one range only.
 SKETCH = 4
 #: Pairs that a task sums before it passes them on, and pairs in a batch of its output.
@@ -194,11 +201,26 @@ def matches_asked(key: np.ndarray, bounds: np.ndarray, size: np.ndarray, rule: R
     return best
 
 
-def parities(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64 bits for each set, each the parity of how many of its tokens hash to it. Bits that differ are tokens that only one of two sets has, at least."""
+def parities(key: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
+    """A row of `width` times 64 bits for each set, each the parity of how many of its tokens hash to it. Bits that differ are tokens that only one of two sets has, at least."""
+    out = np.empty((len(bounds) - 1, width), np.uint64)
+    slot = mix(key & _LOW)
+    bit, word = np.uint64(1) << (slot & np.uint64(63)), (slot >> np.uint64(6)) % np.uint64(width)
     flips = np.zeros(len(key) + 1, dtype=np.uint64)
-    np.bitwise_xor.accumulate(np.uint64(1) << (mix(key & _LOW) & np.uint64(63)), out=flips[1:])
-    return flips[bounds[1:]] ^ flips[bounds[:-1]]
+    for w in range(width):
+        np.bitwise_xor.accumulate(bit if width == 1 else np.where(word == w, bit, np.uint64(0)), out=flips[1:])
+        out[:, w] = flips[bounds[1:]] ^ flips[bounds[:-1]]
+    return out
+
+
+def slots(x: np.ndarray) -> np.ndarray:
+    return (x & ((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+
+def in_slots(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether the slots of x are set in packed bits."""
+    at = slots(x)
+    return (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
 
 
 def sketches(prefix: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -226,19 +248,29 @@ def as_sent(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=f"u{max(1, len(data) // max(1, n))}").astype(np.int64)
 
 
-POSTINGS, CLASSES, COPIES = 0, 1, 2
-_SENT = "part int, kind byte, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, c6 binary"
-_SENT_NAMES = ["part", "kind", *(f"c{i}" for i in range(7))]
+def least_ids(x: np.ndarray) -> bytes:
+    """Any ids as the least one and what the others have more."""
+    base = x.min()
+    return base.tobytes() + least_bytes(x.view(np.uint64) - base.view(np.uint64)).tobytes()
+
+
+def ids_as_sent(data: bytes, n: int) -> np.ndarray:
+    return as_sent(data[8:], n) + np.frombuffer(data, np.int64, 1)
+
+
+POSTINGS, CLASSES, COPIES, ASKED = 0, 1, 2, 3
+_SENT = "part int, kind byte, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, c6 binary, c7 binary"
+_SENT_NAMES = ["part", "kind", *(f"c{i}" for i in range(8))]
 
 
 def sent(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int8(), *[pa.binary()] * 7]
-    rows = [r + (b"",) * (9 - len(r)) for r in rows]
+    kinds = [pa.int32(), pa.int8(), *[pa.binary()] * 8]
+    rows = [r + (b"",) * (10 - len(r)) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], _SENT_NAMES)
 
 
-def packed_postings(rule: Rule, classes, ranges: int):
-    """Prefix tokens by range, and records by range of their digest; sets that a batch repeats are sent once, and their other records only as copies."""
+def packed_postings(rule: Rule, classes, ranges: int, asked_for=None):
+    """Prefix tokens by range, and records by range of their digest; sets that a batch repeats are sent once, and their other records only as copies. With `asked_for`, only the tokens in its slots, and no records."""
 
     def packed(blocks_: list) -> pa.RecordBatch:
         one, two, rid, mark, line, size, extra, length, sketch, prefix = (np.concatenate(x) for x in zip(*blocks_))
@@ -251,16 +283,18 @@ def packed_postings(rule: Rule, classes, ranges: int):
         home = range_of(one[first].view(np.uint64), ranges)
         at = np.argsort(home, kind="stable")
         edge = np.searchsorted(home[at], np.arange(ranges + 1))
-        for k in np.flatnonzero(np.diff(edge)):
+        for k in np.flatnonzero(np.diff(edge)) if asked_for is None else ():
             own = first[at[edge[k] : edge[k + 1]]]
             rows.append((int(k), CLASSES, *(x[own].tobytes() for x in (one, two, rid, mark, line, size))))
-        if len(copy):
+        if len(copy) and asked_for is None:
             rows.append((int(rid[copy[0]] % ranges), COPIES, *(x[copy].tobytes() for x in (one, two, rid, mark, line))))
         sends = np.zeros(len(one), dtype=bool)
         sends[first] = True
         record = np.repeat(np.arange(len(one)), length)
         place = np.arange(len(record)) - np.repeat(np.cumsum(length) - length, length)
         goes = sends[record]
+        if asked_for is not None:
+            goes &= in_slots(asked_for.value[1], prefix)
         token, record, place = prefix[goes], record[goes], place[goes]
         part = range_of(token, ranges)
         at = np.argsort(part.astype(np.uint16) if ranges < 1 << 16 else part, kind="stable")
@@ -272,7 +306,8 @@ def packed_postings(rule: Rule, classes, ranges: int):
             who = record[own][head]
             count = np.diff(np.append(head, edge[k + 1] - edge[k]))
             rest = (least_bytes(count), one[who], least_bytes(size[who]), extra[who], sketch[who] if rule.adaptive else least_bytes(place[own]))
-            rows.append((int(k), POSTINGS, token[own].tobytes(), *(x.tobytes() for x in rest)))
+            when = () if rule.adaptive else (least_ids(rid[who]), least_bytes(line[who]).tobytes())
+            rows.append((int(k), POSTINGS, token[own].tobytes(), *(x.tobytes() for x in rest), *when))
         return sent(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +332,7 @@ def packed_postings(rule: Rule, classes, ranges: int):
                 starts = np.cumsum(length) - length
                 place = np.arange(length.sum()) - np.repeat(starts, length)
                 prefix = mix(key[np.repeat(edge[:-1], length) + place] & _LOW)
-                extra = asked.astype(np.uint8) if rule.adaptive else parities(key, edge)
+                extra = asked.astype(np.uint8) if rule.adaptive else parities(key, edge, 1 if asked_for is None else PARITIES)
                 sketch = sketches(prefix, starts) if rule.adaptive else np.zeros((len(size), 0), np.uint64)
                 parts.append((one, two, ids[row].astype(np.int64), marks[row].astype(np.int64), line.astype(np.int32), size.astype(np.int32), extra, length, sketch, prefix))
                 held += len(prefix)
@@ -307,14 +342,8 @@ def packed_postings(rule: Rule, classes, ranges: int):
     return run
 
 
-def list_pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray | None, bits: np.ndarray | None, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs that share a token and pass the filters; sorted by token, and by size within it.
-
-    Length: the lesser set has at least the threshold's share of the greater one's size.
-    Where prefixes ask for one match, also position: from the shared token on, the shorter
-    rest must have what the overlap needs, for before its first shared token a pair has
-    none; and parity: bits that differ bound the overlap from above.
-    """
+def list_pairs(token: np.ndarray, size: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs that share a token and whose lesser set has at least the threshold's share of the greater one's size; sorted by token, and by size within it."""
     head = np.append(True, token[1:] != token[:-1])
     start = np.flatnonzero(head)
     end = np.repeat(np.append(start[1:], len(token)), np.diff(np.append(start, len(token))))
@@ -325,18 +354,45 @@ def list_pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray | None, bi
         here = here[must[here + step] <= size[here]]  # sizes rise within a list, so that what is too long once stays so
         for low in range(0, len(here), 1 << 18):
             a = here[low : low + (1 << 18)]
-            b = a + step
-            if place is not None:
-                least = np.ceil((size[a] + size[b]) * (rule.threshold / (1 + rule.threshold)) - 1e-9)
-                fit = np.minimum(size[a] - place[a], size[b] - place[b]) >= least
-                a, b, least = a[fit], b[fit], least[fit]
-                fit = size[a] + size[b] - np.bitwise_count(bits[a] ^ bits[b]) >= 2 * least
-                a, b = a[fit], b[fit]
-            yield a, b
+            yield a, a + step
         here = here[here + step + 1 < end[here]]
         step += 1
 
 
+def earlier_pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, when: np.ndarray, asks: np.ndarray, most: int, stopped: list, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y) of sets y that ask and sets x not later that share a token with them and pass the filters; sorted by token, and by size within it.
+
+    The nearest by size come first, lesser ones before greater ones, and y gets `most` in a
+    list and no more; those that get so many are told in `stopped`.  Filters: length, as in
+    list_pairs; position: from the shared token on, the shorter rest must have what the
+    overlap needs, for before its first shared token a pair has none; and parity: bits that
+    differ bound the overlap from above.
+    """
+    must, found = needed(size, rule.threshold), np.zeros(len(token), np.int64)
+    for step in (-1, 1):
+        side, here = step, np.flatnonzero(asks & (found < most))
+        while len(here):
+            here = here[here + step >= 0] if side < 0 else here[here + step < len(token)]
+            far = here + step
+            long, short = (here, far) if side < 0 else (far, here)
+            here = here[(token[here] == token[far]) & (must[long] <= size[short])]  # what is too long or too short once stays so
+            for low in range(0, len(here), 1 << 18):
+                y = here[low : low + (1 << 18)]
+                fit = when[y + step] <= when[y]
+                y = y[fit]
+                x = y + step
+                least = np.ceil((size[x] + size[y]) * (rule.threshold / (1 + rule.threshold)) - 1e-9)
+                fit = np.minimum(size[x] - place[x], size[y] - place[y]) >= least
+                x, y, least = x[fit], y[fit], least[fit]
+                fit = size[x] + size[y] - np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) >= 2 * least
+                x, y = x[fit], y[fit]
+                found[y] += 1
+                yield x, y
+            here = here[found[here] < most]
+            step += side
+    stopped.append(np.flatnonzero(found >= most))
+
+
 def gathered(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs once each, with the sum of their matches."""
     order = np.argsort(code)
@@ -347,8 +403,8 @@ def gathered(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[head], np.add.reduceat(n, head, dtype=np.int32)
 
 
-def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of sets that share tokens of one range: (a, b, matches, matches asked for).
+def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int, most: int, asked_for, more: list) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of sets that share tokens of one range: (a, b, matches, matches asked for). Where prefixes ask for one match, see earlier_pairs; `more` gets the sets and tokens where it stopped.
 
     Near copies share tokens in most ranges.  Where the sketches of two sets have a token in
     common, only the range of the first such token, which both see, passes the pair on, and
@@ -356,12 +412,25 @@ def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int) -> Iterato
     to be added up.  Texts decide in the end.
     """
     columns = []
-    for t, c, o, s, e, last, _ in rows:
+    for t, c, o, s, e, last, ids, line in rows:
         one = np.frombuffer(o, np.int64)
-        columns.append((np.frombuffer(t, np.uint32), as_sent(c, len(one)), one, as_sent(s, len(one)), np.frombuffer(e, np.uint8 if rule.adaptive else np.uint64), np.frombuffer(last, np.uint64).reshape(-1, SKETCH) if rule.adaptive else as_sent(last, len(t) // 4)))
-    token, count, one, size, extra, last = (np.concatenate(x) for x in zip(*columns))
-    # A set that came from several batches counts once; sets are numbered in the order of their digests.
-    names, first, number = np.unique(one, return_index=True, return_inverse=True)
+        n = len(one)
+        own_kinds = (np.frombuffer(e, np.uint8), np.frombuffer(last, np.uint64).reshape(-1, SKETCH)) if rule.adaptive else (np.frombuffer(e, np.uint64).reshape(n, -1), as_sent(last, len(t) // 4), ids_as_sent(ids, n), as_sent(line, n))
+        columns.append((np.frombuffer(t, np.uint32), as_sent(c, n), one, as_sent(s, n), *own_kinds))
+    token, count, one, size, extra, last, *at = (np.concatenate(x) for x in zip(*columns))
+    # A set that came from several batches counts once, where it is first; sets are numbered in the order of their digests.
+    if rule.adaptive:
+        names, first, number = np.unique(one, return_index=True, return_inverse=True)
+    else:
+        ids, line = at
+        order = np.lexsort((line, ids, one))
+        head = np.append(True, one[order][1:] != one[order][:-1])
+        first, number = order[head], np.empty(len(one), np.int64)
+        number[order] = np.cumsum(head) - 1
+        names, ids, line = one[first], ids[first], line[first]
+        order = np.lexsort((line, ids))
+        when = np.empty(len(names), np.int64)
+        when[order] = np.cumsum(np.append(False, (ids[order][1:] != ids[order][:-1]) | (line[order][1:] != line[order][:-1])))
     fresh = np.zeros(len(one), dtype=bool)
     fresh[first] = True
     goes = np.repeat(fresh, count)
@@ -396,7 +465,13 @@ def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int) -> Iterato
 
     done, times = np.zeros(0, np.int64), np.zeros(0, np.int32)
     fresh, waiting = [], 0
-    for x, y in list_pairs(token, size[record], place, None if rule.adaptive else extra[record], rule):
+    stopped: list[np.ndarray] = []
+    if rule.adaptive:
+        pairs = list_pairs(token, size[record], rule)
+    else:
+        asks = np.ones(len(names), bool) if asked_for is None else in_slots(asked_for.value[0], names)
+        pairs = earlier_pairs(token, size[record], place, extra[record], when[record], asks[record], most, stopped, rule)
+    for x, y in pairs:
         a, b = record[x], record[y]
         fresh.append(np.minimum(a, b) * total + np.maximum(a, b))
         waiting += len(a)
@@ -409,6 +484,7 @@ def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int) -> Iterato
                 done, times = done[:0], times[:0]
     new = np.concatenate([*fresh, done[:0]])
     yield from passed(*gathered(np.concatenate([done, new]), np.concatenate([times, np.ones(len(new), np.int32)])))
+    more += [(names[record[p]], token[p].astype(np.int64)) for p in stopped]
 
 
 def first_places(rows: list[tuple]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -427,8 +503,8 @@ def first_places(rows: list[tuple]) -> tuple[list[np.ndarray], list[np.ndarray]]
 _JOINED = "kind byte, a long, b long, n int, need int, doc_id long, mark long, line int"
 
 
-def join_ranges(rule: Rule, ranges: int):
-    """One partition is one range: the pairs among its postings, and the first place of each set whose digest lies in it."""
+def join_ranges(rule: Rule, ranges: int, most: int, asked_for=None):
+    """One partition is one range: the pairs among its postings, the sets and tokens that have more, and the first place of each set whose digest lies in it."""
 
     def rows(kind: int, total: int, **columns: np.ndarray) -> pa.RecordBatch:
         kinds = {"a": pa.int64(), "b": pa.int64(), "n": pa.int32(), "need": pa.int32(), "doc_id": pa.int64(), "mark": pa.int64(), "line": pa.int32()}
@@ -456,8 +532,12 @@ def join_ranges(rule: Rule, ranges: int):
             yield from records(CLASSES, first)
             yield from records(COPIES, others[:5])
         if postings:
-            for a, b, n, need in range_pairs(postings, rule, own, ranges):
+            more: list[tuple[np.ndarray, np.ndarray]] = []
+            for a, b, n, need in range_pairs(postings, rule, own, ranges, most, asked_for, more):
                 yield rows(POSTINGS, len(a), a=a, b=b, n=n, need=need)
+            for a, b in more:
+                for low in range(0, len(a), MOVED_PAIRS):
+                    yield rows(ASKED, len(a[low : low + MOVED_PAIRS]), a=a[low : low + MOVED_PAIRS], b=b[low : low + MOVED_PAIRS])
 
     return run
 
@@ -483,12 +563,13 @@ def clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Found:
-    """records: (kind, one, two, doc_id, mark, line, size), CLASSES for the first of each set, COPIES for all others; pairs: (a, b, part) of candidates, part the task that verifies them; parts: how many of those there are."""
+    """records: (kind, one, two, doc_id, mark, line, size), CLASSES for the first of each set, COPIES for all others; pairs: (a, b, part) of candidates, part the task that verifies them; parts: how many of those there are; again: what `further` needs to join anew."""
 
     records: DataFrame
     pairs: DataFrame
     parts: int
     tables: list[DataFrame]
+    again: tuple
 
     def discard(self) -> None:
         scratch.discard(*self.tables)
@@ -500,28 +581,63 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rule: Rule) -> Found:
-    """All records of `docs`, and the pairs of sets that pass the filters."""
+    """All records of `docs`, and the pairs of sets that pass the filters; for lines, some of them for each set, and `further` has the rest."""
     docs = marked(docs)
     spark = docs.sparkSession
-    classes, total = rarity(docs, rule)
+    table, total = rarity(docs, rule)
     # A prefix is about (1 - threshold) of a record; lines are short, so that rounding and the one token more count.
     postings = total * (1 - rule.threshold) * (1.1 if rule.unit == "doc" else 1.5) + 1
     ranges = int(max(8, np.ceil(postings / RANGE_POSTINGS)))
-    packed = docs.mapInArrow(packed_postings(rule, spark.sparkContext.broadcast(classes), ranges), _SENT)
-    joined = scratch.written(packed.repartitionById(ranges, "part").mapInArrow(join_ranges(rule, ranges), _JOINED), "joined")
-    records = joined.where(f"kind != {POSTINGS}").select("kind", F.col("a").alias("one"), F.col("b").alias("two"), "doc_id", "mark", "line", F.col("n").alias("size"))
-    pairs = joined.where(f"kind = {POSTINGS}")
+    classes = spark.sparkContext.broadcast(table)
+    packed = docs.mapInArrow(packed_postings(rule, classes, ranges), _SENT)
+    joined = scratch.written(packed.repartitionById(ranges, "part").mapInArrow(join_ranges(rule, ranges, EARLIER), _JOINED), "joined")
+    records = joined.where(F.col("kind").isin(CLASSES, COPIES)).select("kind", F.col("a").alias("one"), F.col("b").alias("two"), "doc_id", "mark", "line", F.col("n").alias("size"))
     sizes = joined.agg(F.count_if(F.col("kind") == POSTINGS).alias("pairs"), F.count_if(F.col("kind") == CLASSES).alias("sets"), F.coalesce(F.sum(F.when(F.col("kind") == CLASSES, F.col("n"))), F.lit(0)).alias("tokens")).first()
-    keyed = scratch.written(pairs.select("a", "b", "n", "need").repartition(int(max(1, -(-sizes["pairs"] // TASK_PAIRS))), "b").mapInArrow(clusters, "a long, b long, key long"), "keyed")
+    pairs, parts, keyed = placed(joined, sizes["pairs"], sizes["sets"], sizes["tokens"])
+    return Found(records, pairs, parts, [joined, keyed], (docs, rule, classes, ranges, sizes))
+
+
+def further(found: Found, settled: DataFrame) -> Found | None:
+    """All candidates of the sets that stopped at some and are not among `settled`, a table with their digests as `one`; None if there are none.
+
+    What is asked goes to the tasks as slots of hashes in tables of one size. Slots that
+    others share bring more pairs, which is no harm.
+    """
+    docs, rule, classes, ranges, sizes = found.again
+    asked = found.tables[0].where(f"kind = {ASKED}").select(F.col("a").alias("one"), F.col("b").alias("token")).join(settled.select("one").distinct(), "one", "left_anti")
+    rows = asked.coalesce(8).mapInArrow(slots_asked, "one binary, token binary").collect()
+    if not rows:
+        return None
+    bits = tuple(np.bitwise_or.reduce([np.frombuffer(r[c], np.uint8) for r in rows]) for c in ("one", "token"))
+    asked_for = docs.sparkSession.sparkContext.broadcast(bits)
+    packed = docs.mapInArrow(packed_postings(rule, classes, ranges, asked_for), _SENT)
+    joined = scratch.written(packed.repartitionById(ranges, "part").mapInArrow(join_ranges(rule, ranges, np.iinfo(np.int64).max, asked_for), _JOINED), "joined")
+    pairs, parts, keyed = placed(joined, joined.count(), sizes["sets"], sizes["tokens"])
+    return Found(found.records, pairs, parts, [joined, keyed], found.again)
+
+
+def slots_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = None
+    for batch in batches:
+        if batch.num_rows:
+            seen = np.zeros((2, 1 << SLOT_BITS), bool) if seen is None else seen
+            for k, c in enumerate(("one", "token")):
+                seen[k, slots(batch.column(c).to_numpy())] = True
+    if seen is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(x).tobytes()], pa.binary()) for x in seen], ["one", "token"])
+
+
+def placed(joined: DataFrame, pairs: int, sets: int, tokens: int) -> tuple[DataFrame, int, DataFrame]:
+    """The pairs of a joined table once each as (a, b, part), how many parts there are, and the table they are read from."""
+    keyed = joined.where(f"kind = {POSTINGS}").select("a", "b", "n", "need").repartition(int(max(1, -(-pairs // TASK_PAIRS))), "b")
+    keyed = scratch.written(keyed.mapInArrow(clusters, "a long, b long, key long"), "keyed")
     links = keyed.count()
-    each = sizes["tokens"] / max(1, sizes["sets"])
-    parts = int(max(1, np.ceil(min(2 * links, sizes["sets"]) * each / TASK_TOKENS), np.ceil(links / TASK_PAIRS)))
+    parts = int(max(1, np.ceil(min(2 * links, sets) * (tokens / max(1, sets)) / TASK_TOKENS), np.ceil(links / TASK_PAIRS)))
     # Keys of more than TASK_PAIRS pairs are cut into square blocks; there is one at most for every TASK_PAIRS pairs.
     heavy = keyed.groupBy("key").agg(F.count("*").alias("links")).where(F.col("links") > TASK_PAIRS)
     heavy = heavy.select("key", F.ceil(F.sqrt(F.col("links") * 2 / TASK_PAIRS)).cast("int").alias("side"))
     block = F.when(F.col("side").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("a"), "side"), F.pmod(F.xxhash64("b"), "side")))
-    placed = keyed.join(F.broadcast(heavy), "key", "left").select("a", "b", F.pmod(block, F.lit(parts)).cast("int").alias("part"))
-    return Found(records, placed, parts, [joined, keyed])
+    return keyed.join(F.broadcast(heavy), "key", "left").select("a", "b", F.pmod(block, F.lit(parts)).cast("int").alias("part")), parts, keyed
 
 
 def packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,3 +147,38 @@ def test_lines_odd_rows(spark):
         by.setdefault(r.doc_id, []).append((r.text, r.n_chars))
     assert by == {1: [(None, None)], 2: [("", 0)], 3: [("\n \n", 3)], 4: [("a b c\nfresh one", 15)] * 2, 5: [("new words", 9)], None: [("a b c", 5)], 7: [("z y\n", 4)]}
     assert line_dedup.dedup_lines(spark.createDataFrame([], schema)).count() == 0
+
+
+def cluster(n, words=80):
+    """Copies of a line, each with words of its own: one (like all such), 8 (like few, though many pass the filters) or 10 (like none)."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.sample(range(words), rng.choice([1, 1, 1, 8, 10])):
+            own[k] = f"x{i}_{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_candidates_of_a_cluster_of_lines_are_few(spark):
+    """A cluster of lines has as many pairs as the square of its size; what is written of them follows the size."""
+    made = []
+    for n in (150, 600):
+        found = setsim.candidates(spark.createDataFrame(list(enumerate(cluster(n))), DOCS), setsim.Rule("line", 1, 0.8, False))
+        made.append(found.tables[0].where(f"kind in ({setsim.POSTINGS}, {setsim.ASKED})").count())
+        found.discard()
+    assert made[1] < 6 * made[0] and made[1] < 600 * 60
+
+
+@pytest.mark.parametrize("earlier", [1, setsim.EARLIER])
+def test_lines_that_ask_again_equal_brute_force(spark, monkeypatch, earlier):
+    monkeypatch.setattr(setsim, "EARLIER", earlier)
+    lines = cluster(160)
+    rows = [(i, "\n".join(lines[2 * i : 2 * i + 2])) for i in range(80)] + [(-(2**63), lines[7]), (2**63 - 1, lines[9])]
+    asked = []
+    monkeypatch.setattr(line_dedup, "further", lambda *x: asked.append(setsim.further(*x)) or asked[-1])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == kept_lines(rows)
+    assert asked[0] is not None and 10 < len(got) < 80
