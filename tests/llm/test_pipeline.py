@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import packing, quality
+from marginalia.llm import packing, quality, scratch
 from marginalia.llm.text import flat
-from tests.llm.test_setsim import expected_classes, kept_lines
+from tests.llm.test_setsim import cluster, expected_classes, kept_lines
 
 
 def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
@@ -49,3 +49,18 @@ def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_line_stage_writes_a_cluster_by_its_size(spark, monkeypatch):
+    """A cluster of lines that are all alike takes disk as its size, not as the square of it."""
+    made, written = {150: 0, 600: 0}, scratch.written
+
+    def counting(df, name):
+        table = written(df, name)
+        made[n] += table.count() if name in ("joined", "keyed") else 0
+        return table
+
+    monkeypatch.setattr(scratch, "written", counting)
+    for n in made:
+        corpus_pipeline.line_stage(spark, spark.createDataFrame(list(enumerate(cluster(n, [1]))), "doc_id long, text string"), "").count()
+    assert 0 < made[600] < 6 * made[150], made

@@ -149,14 +149,14 @@ def test_lines_odd_rows(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], schema)).count() == 0
 
 
-def cluster(n, words=80):
+def cluster(n, edits=(1, 1, 1, 8, 10), words=80):
     """Copies of a line, each with words of its own: one (like all such), 8 (like few, though many pass the filters) or 10 (like none)."""
     rng = random.Random(11)
     base = [f"b{i}" for i in range(words)]
     out = []
     for i in range(n):
         own = list(base)
-        for k in rng.sample(range(words), rng.choice([1, 1, 1, 8, 10])):
+        for k in rng.sample(range(words), rng.choice(edits)):
             own[k] = f"x{i}_{k}"
         out.append(" ".join(own))
     return out
