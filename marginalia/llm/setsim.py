@@ -49,6 +49,8 @@ SKETCH = 4
 HELD_PAIRS, MOVED_PAIRS = 1_000_000, 50_000
 #: Pairs and tokens that meet in one task of the verification.
 TASK_PAIRS, TASK_TOKENS = 2_000_000, 4_000_000
+#: Tokens that a task of the verification numbers at a time, of one range of their hashes.
+NUMBERED_TOKENS = 500_000
 VERIFY_COST = 8.0
 
 
@@ -117,6 +119,13 @@ def packed_count(rule: Rule, ranges: int):
     return run
 
 
+def one_array(parts: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list is emptied, so that they can go."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
 def count_range(table: pa.Table) -> pa.Table:
     value, times = [], []
     for first, gaps, width, count in zip(*(table.column(c).to_pylist() for c in ("first", "gaps", "width", "times"))):
@@ -244,8 +253,8 @@ def least_bytes(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
-def as_sent(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"u{max(1, len(data) // max(1, n))}").astype(np.int64)
+def as_sent(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"u{max(1, len(data) // max(1, n))}").astype(kind)
 
 
 def least_ids(x: np.ndarray) -> bytes:
@@ -321,17 +330,29 @@ def packed_postings(rule: Rule, classes, ranges: int, asked_for=None):
                     parts, held = [], 0
                 tokens, bounds, row, line = record_tokens(at, raw, low, high, rule)
                 filled = np.diff(bounds) > 0
-                bounds, row, line = np.append(bounds[:-1][filled], bounds[-1]), row[filled], line[filled]
+                if asked_for is not None:
+                    # Records that have no such token at all needn't be put in order.
+                    seen = np.append(0, np.cumsum(in_slots(asked_for.value[1], mix(tokens >> np.uint64(8)))))
+                    filled = seen[bounds[1:]] > seen[bounds[:-1]]
+                    tokens = tokens[np.repeat(filled, np.diff(bounds))]
+                bounds, row, line = np.append(0, np.cumsum(np.diff(bounds)[filled])), row[filled], line[filled]
                 if not len(row):
                     continue
                 key, edge = ordered_sets(tokens, bounds, classes.value)
                 size = np.diff(edge)
-                one, two = digests(key, edge)
                 asked = matches_asked(key, edge, size, rule)
                 length = np.minimum(size, size - needed(size, rule.threshold) + asked)
                 starts = np.cumsum(length) - length
                 place = np.arange(length.sum()) - np.repeat(starts, length)
                 prefix = mix(key[np.repeat(edge[:-1], length) + place] & _LOW)
+                if asked_for is not None:
+                    meets = np.logical_or.reduceat(in_slots(asked_for.value[1], prefix), starts)
+                    if not meets.any():
+                        continue
+                    key, prefix = key[np.repeat(meets, size)], prefix[np.repeat(meets, length)]
+                    row, line, size, asked, length = (x[meets] for x in (row, line, size, asked, length))
+                    edge, starts = np.append(0, np.cumsum(size)), np.cumsum(length) - length
+                one, two = digests(key, edge)
                 extra = asked.astype(np.uint8) if rule.adaptive else parities(key, edge, 1 if asked_for is None else PARITIES)
                 sketch = sketches(prefix, starts) if rule.adaptive else np.zeros((len(size), 0), np.uint64)
                 parts.append((one, two, ids[row].astype(np.int64), marks[row].astype(np.int64), line.astype(np.int32), size.astype(np.int32), extra, length, sketch, prefix))
@@ -411,32 +432,37 @@ def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int, most: int,
     its matches count as enough; other pairs are passed on by each range that has matches,
     to be added up.  Texts decide in the end.
     """
-    columns = []
+    columns: tuple[list, ...] = ([], [], [], [], [], [], *([], []) * (not rule.adaptive))
     for t, c, o, s, e, last, ids, line in rows:
         one = np.frombuffer(o, np.int64)
         n = len(one)
-        own_kinds = (np.frombuffer(e, np.uint8), np.frombuffer(last, np.uint64).reshape(-1, SKETCH)) if rule.adaptive else (np.frombuffer(e, np.uint64).reshape(n, -1), as_sent(last, len(t) // 4), ids_as_sent(ids, n), as_sent(line, n))
-        columns.append((np.frombuffer(t, np.uint32), as_sent(c, n), one, as_sent(s, n), *own_kinds))
-    token, count, one, size, extra, last, *at = (np.concatenate(x) for x in zip(*columns))
+        own_kinds = (np.frombuffer(e, np.uint8), np.frombuffer(last, np.uint64).reshape(-1, SKETCH)) if rule.adaptive else (np.frombuffer(e, np.uint64).reshape(n, -1), as_sent(last, len(t) // 4, np.int32), ids_as_sent(ids, n), as_sent(line, n, np.int32))
+        for column, part in zip(columns, (np.frombuffer(t, np.uint32), as_sent(c, n, np.int32), one, as_sent(s, n, np.int32), *own_kinds)):
+            column.append(part)
+    rows.clear()
+    token, count, one, size, extra, last, *at = map(one_array, columns)
     # A set that came from several batches counts once, where it is first; sets are numbered in the order of their digests.
     if rule.adaptive:
         names, first, number = np.unique(one, return_index=True, return_inverse=True)
     else:
         ids, line = at
-        order = np.lexsort((line, ids, one))
+        at.clear()
+        order = np.lexsort((line, ids))
+        when, ids, line = np.empty(len(one), np.int32), ids[order], line[order]
+        when[order] = np.cumsum(np.append(False, (ids[1:] != ids[:-1]) | (line[1:] != line[:-1])))
+        order = order[np.argsort(one[order], kind="stable")]
         head = np.append(True, one[order][1:] != one[order][:-1])
-        first, number = order[head], np.empty(len(one), np.int64)
+        first, number = order[head], np.empty(len(one), np.int32)
         number[order] = np.cumsum(head) - 1
-        names, ids, line = one[first], ids[first], line[first]
-        order = np.lexsort((line, ids))
-        when = np.empty(len(names), np.int64)
-        when[order] = np.cumsum(np.append(False, (ids[order][1:] != ids[order][:-1]) | (line[order][1:] != line[order][:-1])))
+        names, when = one[first], when[first]
+        del ids, line, order, head
     fresh = np.zeros(len(one), dtype=bool)
     fresh[first] = True
     goes = np.repeat(fresh, count)
-    record = np.repeat(number, count)[goes]
+    record = np.repeat(number.astype(np.int32, copy=False), count)[goes]
     token, place = token[goes], None if rule.adaptive else last[goes]
     size, extra = size[first], extra[first]
+    del one, count, number, fresh, goes
     order = np.argsort((token.astype(np.uint64) << np.uint64(32)) | size[record].astype(np.uint64))
     token, record = token[order], record[order]
     alike = np.append(False, token[1:] == token[:-1])
@@ -445,6 +471,7 @@ def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int, most: int,
     if not len(token):
         return
     place = None if place is None else place[order][alike]
+    del order, alike
     total = len(names)
 
     def passed(code: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -472,7 +499,7 @@ def range_pairs(rows: list[tuple], rule: Rule, own: int, ranges: int, most: int,
         asks = np.ones(len(names), bool) if asked_for is None else in_slots(asked_for.value[0], names)
         pairs = earlier_pairs(token, size[record], place, extra[record], when[record], asks[record], most, stopped, rule)
     for x, y in pairs:
-        a, b = record[x], record[y]
+        a, b = record[x].astype(np.int64), record[y].astype(np.int64)
         fresh.append(np.minimum(a, b) * total + np.maximum(a, b))
         waiting += len(a)
         if waiting > max(HELD_PAIRS // 2, len(done)):
@@ -682,8 +709,8 @@ def record_texts(rule: Rule):
     return run
 
 
-def numbered_sets(at: np.ndarray, raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The set of n-grams of each text as rising numbers, with bounds; n-grams that no two texts share have no number, but count in the sizes."""
+def hashed_sets(at: np.ndarray, raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits of hash, in two arrays, for the n-grams of each text, and how many of them each text has."""
     first, second, count = [], [], []
     for low, high in blocks(at):
         data, cuts = raw[at[low] : at[high]], at[low : high + 1] - at[low]
@@ -693,22 +720,43 @@ def numbered_sets(at: np.ndarray, raw: np.ndarray, n: int) -> tuple[np.ndarray,
             tokens, edge = shingles(own, bounds, n)
             out.append(tokens)
         count.append(np.diff(edge))
-    token, other, count = (np.concatenate(x) for x in (first, second, count))
-    record = np.repeat(np.arange(len(count)), count)
-    order = np.argsort(token)
-    token, other, record = token[order], other[order], record[order]
-    if (other[1:] != other[:-1])[token[1:] == token[:-1]].any():
-        # Two n-grams share the first hash: all are sorted by both.
-        order = np.lexsort((other, token))
-        token, other, record = token[order], other[order], record[order]
-    number = np.cumsum(np.append(True, (token[1:] != token[:-1]) | (other[1:] != other[:-1]))) - 1
-    code = distinct((record << 32) | number)
-    record, number = code >> 32, code & 0xFFFFFFFF
-    size = np.bincount(record, minlength=len(count))
-    shared = np.bincount(number) > 1
-    kept = shared[number]
-    number = (np.cumsum(shared) - 1)[number[kept]]
-    return number, np.searchsorted(record[kept], np.arange(len(count) + 1)), size, int(shared.sum())
+    return tuple(np.concatenate(x) for x in (first, second, count))
+
+
+def numbered_sets(token: np.ndarray, other: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The set of n-grams of each text as numbers, with bounds; n-grams that no two texts share have no number, but count in the sizes.
+
+    token, other and count are those of hashed_sets.  N-grams are numbered by range of their
+    hash, so that sorting takes memory for one range and not for all that meet in a task.
+    """
+    ends, size, met = np.cumsum(count), np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+    high, ranges, total, parts = (token >> np.uint64(48)).astype(np.uint16), -(-len(token) // NUMBERED_TOKENS), 0, []
+    for k in range(ranges):
+        at = np.flatnonzero((high >= (k << 16) // ranges) & (high < (k + 1 << 16) // ranges))
+        own, also, record = token[at], other[at], np.searchsorted(ends, at, side="right")
+        order = np.argsort(own)
+        own, also, record = own[order], also[order], record[order]
+        if (also[1:] != also[:-1])[own[1:] == own[:-1]].any():
+            # Two n-grams share the first hash: all are sorted by both.
+            order = np.lexsort((also, own))
+            own, also, record = own[order], also[order], record[order]
+        number = np.cumsum(np.append(True, (own[1:] != own[:-1]) | (also[1:] != also[:-1]))[: len(own)]) - 1
+        code = distinct((record << 32) | number)
+        record, number = code >> 32, code & 0xFFFFFFFF
+        size += np.bincount(record, minlength=len(count))
+        shared = np.bincount(number) > 1
+        kept = shared[number]
+        record, number = record[kept], (np.cumsum(shared) - 1)[number[kept]] + total
+        met += np.bincount(record, minlength=len(count))
+        total += int(shared.sum())
+        parts.append((record.astype(np.int32), number.astype(np.int32)))
+    edge = np.append(0, np.cumsum(met))
+    out, free = np.empty(edge[-1], np.int32), edge[:-1].copy()
+    for record, number in parts:
+        times = np.bincount(record, minlength=len(count))
+        out[np.arange(len(record)) + (free - np.cumsum(times) + times)[record]] = number
+        free += times
+    return out, edge, size, total
 
 
 def overlaps(token: np.ndarray, edge: np.ndarray, a: np.ndarray, b: np.ndarray, total: int) -> np.ndarray:
@@ -748,7 +796,7 @@ def verify(rule: Rule, told):
     """Counts the overlap of each pair that meets here, on whole texts; `told` makes rows of those that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, fields, texts = [], [], []
+        pairs, fields, sets = [], [], ([], [], [])
         for batch in batches:
             for kind, body, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "body", "n"))):
                 if kind == 0:
@@ -756,15 +804,15 @@ def verify(rule: Rule, told):
                     continue
                 k = int.from_bytes(body[:8], "little")
                 data = pa.decompress(body[8:], n, "zstd", asbytes=True)
-                fields.append(np.frombuffer(data, np.int64, k).reshape(-1, 6))
-                texts.append(np.frombuffer(data, np.uint8, offset=8 * k))
+                # Texts are hashed as they come; what is kept of each message is copied out of it.
+                fields.append(np.frombuffer(data, np.int64, k).reshape(-1, 6).copy())
+                for column, own in zip(sets, hashed_sets(np.append(0, np.cumsum(fields[-1][:, 5])), np.frombuffer(data, np.uint8, offset=8 * k), rule.n)):
+                    column.append(own)
         if not pairs:
             return
         if not fields:
             raise RuntimeError("no text of a candidate was found: the table changed while it was read")
         known = np.concatenate(fields)
-        at, raw = np.concatenate([[0], np.cumsum(known[:, 5])]), np.concatenate(texts)
-        texts.clear()
         order = np.argsort(known[:, 0], kind="stable")
         names = known[order, 0]
         a, b = np.concatenate(pairs, axis=1)
@@ -774,7 +822,7 @@ def verify(rule: Rule, told):
         a, b = order[slot_a], order[slot_b]
         by = np.argsort(a, kind="stable")
         a, b = a[by], b[by]
-        token, edge, size, total = numbered_sets(at, raw, rule.n)
+        token, edge, size, total = numbered_sets(*map(one_array, sets))
         shared = overlaps(token, edge, a, b, total)
         good = shared >= rule.threshold * (size[a] + size[b] - shared) - 1e-9
         yield from told(known, a[good], b[good])

@@ -127,6 +127,8 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
     has a single shingle made of all its words.
     """
     count = np.diff(bounds)
+    if n == 1:
+        return mix(hashes[bounds[0] : bounds[-1]] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(2)), np.append(0, np.cumsum(count)).astype(np.int64)
     rows = len(count)
     made = np.where(count >= n, count - n + 1, (count > 0).astype(count.dtype))
     out = np.concatenate([[0], np.cumsum(made)]).astype(np.int64)

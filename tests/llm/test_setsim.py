@@ -1,5 +1,9 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +186,41 @@ def test_lines_that_ask_again_equal_brute_force(spark, monkeypatch, earlier):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
     assert got == kept_lines(rows)
     assert asked[0] is not None and 10 < len(got) < 80
+
+
+def traced(run, batches):
+    """What a task yields for the batches, and the most bytes it held on the way."""
+    tracemalloc.start()
+    try:
+        return list(run(iter(batches))), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_of_the_verification_holds_few_bytes_a_token():
+    """Texts of millions of tokens meet in a task, and executors have little memory besides the JVM's."""
+    rng, n, width = np.random.default_rng(5), 5000, 500
+    words = rng.integers(0, 50_000, (n, width))
+    words[1::2] = words[::2]
+    words[3::4, 100:] = rng.integers(0, 50_000, (n // 4, 400))  # every second pair is unlike
+    lines = [" ".join(map(str, w)) for w in words.tolist()]
+    wanted = [[{"part": 0, "one": i, "line": 0, "weight": 0}] for i in range(n)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0] * n), pa.array(lines), pa.array(wanted)], ["doc_id", "mark", "text", "wanted"])
+    pairs = pa.RecordBatch.from_arrays([pa.array([0] * (n // 2), pa.int32()), pa.array(range(0, n, 2)), pa.array(range(1, n, 2))], ["part", "a", "b"])
+    rule = setsim.Rule("line", 1, 0.8, False)
+    sent = [*setsim.record_texts(rule)(iter([whole])), *setsim.packed_pairs(iter([pairs]))]
+    got, most = traced(setsim.verify(rule, line_dedup.late), sent)
+    assert [x for batch in got for x in batch.column("doc_id").to_pylist()] == list(range(1, n, 4))
+    assert most < 60 * n * width, most / (n * width)
+
+
+def test_a_task_of_the_join_holds_few_bytes_a_posting():
+    rng, n = np.random.default_rng(6), 120_000
+    lines = [" ".join(map(str, w)) for w in rng.integers(0, 30_000, (n, 10)).tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([0] * n), pa.array(lines)], ["doc_id", "mark", "text"])
+    rule, classes = setsim.Rule("line", 1, 0.8, False), SimpleNamespace(value=np.zeros(1 << setsim.CLASS_BITS, np.uint8))
+    sent = [b.filter(pa.array([k == setsim.POSTINGS for k in b.column("kind").to_pylist()])) for b in setsim.packed_postings(rule, classes, 1)(iter([batch]))]
+    postings = sum(len(t) // 4 for b in sent for t in b.column("c0").to_pylist())
+    assert postings > 2 * n
+    _, most = traced(setsim.join_ranges(rule, 1, setsim.EARLIER), sent)
+    assert most < 140 * postings, most / postings
