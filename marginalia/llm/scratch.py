@@ -35,13 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, which outlives any executor. The shuffles that made it go as soon as it is there."""
     spark = df.sparkSession
     path = place(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    if before is not None:
-        spark.conf.set(_CLEANUP, "true")
+    before = spark.conf.get(_CLEANUP, None)  # None if nobody has set it, whatever its default
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        if before is not None:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
             spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path

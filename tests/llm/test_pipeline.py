@@ -1,3 +1,6 @@
+import re
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -64,3 +67,28 @@ def test_line_stage_writes_a_cluster_by_its_size(spark, monkeypatch):
     for n in made:
         corpus_pipeline.line_stage(spark, spark.createDataFrame(list(enumerate(cluster(n, [1]))), "doc_id long, text string"), "").count()
     assert 0 < made[600] < 6 * made[150], made
+
+
+def shuffles(spark):
+    """Numbers of the shuffles that have files on this machine's disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {int(x) for x in re.findall(r"shuffle_(\d+)_", files)}
+
+
+def test_line_stage_drops_the_shuffles_of_each_table_it_writes(spark, monkeypatch):
+    """Together they are several times the input; that they go must not wait for the driver's garbage collection."""
+    left, written = {}, scratch.written
+
+    def watching(df, name):
+        before = shuffles(spark)
+        table = written(df, name)
+        until = time.monotonic() + 10
+        while (new := shuffles(spark) - before) and time.monotonic() < until:  # they go in the background
+            time.sleep(0.1)
+        left[name] = len(new)
+        return table
+
+    monkeypatch.setattr(scratch, "written", watching)
+    docs = spark.createDataFrame(list(enumerate(cluster(60))), "doc_id long, text string").repartition(3)
+    assert 0 < corpus_pipeline.line_stage(spark, docs, "").count() < 60
+    assert {"counts", "joined", "keyed", "near", "gone"} <= set(left) and not any(left.values()), left
