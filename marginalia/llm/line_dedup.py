@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +12,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
-from .setsim import CLASSES, COPIES, Rule, candidates, further, verified
+from . import scratch, setsim
+from .setsim import CLASSES, COPIES, Found, Rule, candidates, further, verified
 
 THRESHOLD = 0.8
+#: Tokens that meet in one round of the verification, as a share of the input's.
+ROUND_SHARE = 0.5
 _BLANK = " \t\n\r\x0b\x0c"
 
 
@@ -25,6 +29,22 @@ def late(known: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordB
     yield pa.RecordBatch.from_arrays([pa.array(row[:, 0]), pa.array(row[:, 1]), pa.array(row[:, 2]), pa.array(row[:, 3].astype(np.int32))], ["one", "doc_id", "mark", "line"])
 
 
+def late_lines(docs: DataFrame, found: Found, firsts: DataFrame, rule: Rule) -> list[DataFrame]:
+    """Tables of the lines that candidates show to be late, one of each round.
+
+    The texts of candidates follow their number, which nothing bounds by the input.  A round
+    takes so many parts that their texts are a share of the input, and its shuffles go before
+    the next one; candidates that are few for their input take one round.
+    """
+    step, tables = max(1, int(found.tokens * ROUND_SHARE / setsim.TASK_TOKENS)), []
+    for low in range(0, found.parts, step):
+        parts = min(step, found.parts - low)
+        own = found.pairs.where(F.col("part").between(low, low + parts - 1)).select("a", "b", (F.col("part") - low).alias("part"))
+        near = verified(docs, replace(found, pairs=own, parts=parts), firsts, rule, late, "one long, doc_id long, mark long, line int")
+        tables.append(scratch.written(near, "near"))
+    return tables
+
+
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Lines to remove, as (doc_id, mark, lines); mark is the hash that tells texts with one doc_id apart.
 
@@ -38,14 +58,13 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = candidates(docs, rule)
     firsts = found.records.where(F.col("kind") == CLASSES).select("one", "doc_id", "mark", "line", F.lit(0).alias("weight"))
     copies = found.records.where(F.col("kind") == COPIES).select("doc_id", "mark", "line")
-    found_rows = "one long, doc_id long, mark long, line int"
-    near = scratch.written(verified(docs, found, firsts, rule, late, found_rows), "near")
-    rest = further(found, near)
-    lines = copies.unionByName(near.select("doc_id", "mark", "line"))
+    tables = late_lines(docs, found, firsts, rule)
+    rest = further(found, reduce(DataFrame.unionByName, tables))
     if rest is not None:
-        lines = lines.unionByName(verified(docs, rest, firsts, rule, late, found_rows).select("doc_id", "mark", "line"))
+        tables += late_lines(docs, rest, firsts, rule)
+    lines = reduce(DataFrame.unionByName, [copies, *(t.select("doc_id", "mark", "line") for t in tables)])
     gone = scratch.written(lines.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines")), "gone")
-    scratch.discard(near)
+    scratch.discard(*tables)
     found.discard()
     if rest is not None:
         rest.discard()

@@ -590,13 +590,14 @@ def clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Found:
-    """records: (kind, one, two, doc_id, mark, line, size), CLASSES for the first of each set, COPIES for all others; pairs: (a, b, part) of candidates, part the task that verifies them; parts: how many of those there are; again: what `further` needs to join anew."""
+    """records: (kind, one, two, doc_id, mark, line, size), CLASSES for the first of each set, COPIES for all others; pairs: (a, b, part) of candidates, part the task that verifies them; parts: how many of those there are; again: what `further` needs to join anew; tokens: how many all records have."""
 
     records: DataFrame
     pairs: DataFrame
     parts: int
     tables: list[DataFrame]
     again: tuple
+    tokens: int
 
     def discard(self) -> None:
         scratch.discard(*self.tables)
@@ -621,7 +622,7 @@ def candidates(docs: DataFrame, rule: Rule) -> Found:
     records = joined.where(F.col("kind").isin(CLASSES, COPIES)).select("kind", F.col("a").alias("one"), F.col("b").alias("two"), "doc_id", "mark", "line", F.col("n").alias("size"))
     sizes = joined.agg(F.count_if(F.col("kind") == POSTINGS).alias("pairs"), F.count_if(F.col("kind") == CLASSES).alias("sets"), F.coalesce(F.sum(F.when(F.col("kind") == CLASSES, F.col("n"))), F.lit(0)).alias("tokens")).first()
     pairs, parts, keyed = placed(joined, sizes["pairs"], sizes["sets"], sizes["tokens"])
-    return Found(records, pairs, parts, [joined, keyed], (docs, rule, classes, ranges, sizes))
+    return Found(records, pairs, parts, [joined, keyed], (docs, rule, classes, ranges, sizes), total)
 
 
 def further(found: Found, settled: DataFrame) -> Found | None:
@@ -640,7 +641,7 @@ def further(found: Found, settled: DataFrame) -> Found | None:
     packed = docs.mapInArrow(packed_postings(rule, classes, ranges, asked_for), _SENT)
     joined = scratch.written(packed.repartitionById(ranges, "part").mapInArrow(join_ranges(rule, ranges, np.iinfo(np.int64).max, asked_for), _JOINED), "joined")
     pairs, parts, keyed = placed(joined, joined.count(), sizes["sets"], sizes["tokens"])
-    return Found(found.records, pairs, parts, [joined, keyed], found.again)
+    return Found(found.records, pairs, parts, [joined, keyed], found.again, found.tokens)
 
 
 def slots_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -224,3 +224,15 @@ def test_a_task_of_the_join_holds_few_bytes_a_posting():
     assert postings > 2 * n
     _, most = traced(setsim.join_ranges(rule, 1, setsim.EARLIER), sent)
     assert most < 140 * postings, most / postings
+
+
+def test_lines_are_verified_in_rounds_of_a_share_of_the_input(spark, monkeypatch):
+    """Where candidates' texts are more than the input's share, they meet round by round; nothing is lost."""
+    monkeypatch.setattr(setsim, "TASK_TOKENS", 600)
+    lines = cluster(160)
+    rows = [(i, "\n".join(lines[2 * i : 2 * i + 2])) for i in range(80)]
+    rounds, verified = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda docs, found, *x: rounds.append(found) or verified(docs, found, *x))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == kept_lines(rows)
+    assert len(rounds) > 2 and max(f.parts for f in rounds) * 600 <= 0.5 * 160 * 80
