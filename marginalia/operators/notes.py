@@ -120,9 +120,9 @@ def list_matching(notes: DataFrame, pattern: str, flavour: str = "glob") -> Data
     return notes.where(F.col("path").endswith(".md") & F.col("path").rlike(glob_regex(pattern, flavour))).orderBy(F.split("path", "/"))
 
 
-def load_note(notes: DataFrame, path: str) -> DataFrame:
-    """The note of that path, if there is one; the filter reaches the scan."""
-    return notes.where(F.col("path") == normalized(F.lit(path)))
+def load_note(notes: DataFrame, path: str | Column) -> DataFrame:
+    """The note of that path, if there is one, or of the path that a column gives; the filter reaches the scan."""
+    return notes.where(F.col("path") == normalized(F.lit(path) if isinstance(path, str) else path))
 
 
 def note_exists(notes: DataFrame, path: str) -> bool:

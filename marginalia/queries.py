@@ -131,7 +131,7 @@ def hits(text: str) -> Callable[[Vault], DataFrame]:
 # Scans and parts of notes.
 query("a1_list_notes", "SELECT path FROM notes")(lambda v: parts.list_notes(v.notes).select("path"))
 query("a2_list_glob", r"SELECT path FROM notes WHERE regexp_matches(path, '^src1[^/]*/en/Doc [^/]*5\.md$')")(lambda v: parts.list_matching(v.notes, "src1*/en/Doc *5.md").select("path"))
-query("a3_load_note", "SELECT path, content FROM notes WHERE path LIKE 'src7/%/Doc 7.md'")(lambda v: parts.load_note(v.notes, "src7/en/Doc 7").select("path", "content"))
+query("a3_load_note", "SELECT path, content FROM notes WHERE path LIKE 'src7/%/Doc 7.md'")(lambda v: parts.load_note(v.notes.where("path LIKE 'src7/%/%'"), F.concat(parts.folder(), F.lit("/Doc 7"))).select("path", "content"))
 query("a8_note_accessors", "SELECT notes.path, regexp_extract(notes.path, '([^/]+)[.]md$', 1) AS name, regexp_extract(notes.path, '^(.*)/[^/]*$', 1) AS folder, has AS has_frontmatter, CASE WHEN has THEN yaml END AS frontmatter_raw, body, begins AS body_start_line FROM notes JOIN fm USING (doc_id, path) JOIN bd USING (doc_id, path)", _BODY)(lambda v: parts.accessors(v.notes))
 query("a10_note_stats", "SELECT path, CAST(length(content) - length(replace(content, chr(10), '')) AS BIGINT) AS lines, CAST(len(list_filter(regexp_split_to_array(content, '[ \\t\\n\\r\\f\\x0b]+'), lambda x: x <> '')) AS BIGINT) AS words, strlen(content) AS size_bytes FROM notes")(lambda v: parts.stats(v.notes))
 query("a7_all_frontmatter_where", "SELECT path FROM ok WHERE regexp_matches(yaml, '(?m)^status: open$')", _LINES)(lambda v: properties.all_frontmatter(v.frontmatter, "rating", ("status", "open")).select("path"))

@@ -158,3 +158,12 @@ def test_resolution_plans_without_jobs_or_loops(spark, tmp_path):
     graph.save(notes, f"{tmp_path}/graph")
     kept = graph.load(spark, f"{tmp_path}/graph")
     assert sorted((r["from"], r.resolved_path) for r in kept.collect()) == [("Two.md", "a/One.md"), ("a/One.md", "Two.md"), ("a/One.md", "a/One.md"), ("a/One.md", "a/One.md")]
+
+
+def test_a_note_is_loaded_from_any_folder_of_its_source(spark, tmp_path):
+    rows = [(7, "text", "de", "src7"), (7, "other", "en", "src7"), (7, "more", "en", "src70"), (8, "text", "en", "src7")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.queries()["a3_load_note"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(Q.oracle_sql()["a3_load_note"]).fetchall()) and len(got) == 2
