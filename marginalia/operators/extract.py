@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markdown, tasks, yamlcore
+from . import notes as parts
 
 LINK = "target string, alias string, heading string, block_id string, embed boolean, line int, start_col int, end_col int"
 TASK = "line int, raw string, marker string, symbol string, description string, indent int, parent_line int, metadata map<string,string>, links array<struct<to:string,alias:string>>, tags array<string>, block_id string"
 NODE = "node_id int, parent_id int, depth int, ordinal int, node_type string, line int, marker string, symbol string, text string, metadata map<string,string>, block_id string"
 EDGE = f"{LINK}, context string"
 
-#: Rows that are held as tuples before they go on as one batch.
-ROWS_A_BATCH = 20_000
+#: Rows that are held as tuples, and notes that are read for them, before they go on as one batch.
+ROWS_A_BATCH = 2_000
+NOTES_A_BATCH = 1_000
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
@@ -35,8 +37,16 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return _ARROW[kind.simpleString()]
 
 
+def each(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, one at a time."""
+    return (tuple(cell.as_py() for cell in row) for row in zip(*batch.columns))
+
+
 def relation(notes: DataFrame, parse: Callable[[str], list[tuple]], schema: str, order: bool = False) -> DataFrame:
-    """Rows of parse(content) beside their path; `ord` numbers them within the note if asked for."""
+    """Rows of parse(content) beside their path; `ord` numbers them within the note if asked for.
+
+    One text at a time is a string of Python's, which takes up to four times its bytes in Arrow.
+    """
     full = T._parse_datatype_string(f"path string, {'ord int, ' if order else ''}{schema}")
     kinds = [(f.name, _arrow(f.dataType)) for f in full]
 
@@ -47,11 +57,11 @@ def relation(notes: DataFrame, parse: Callable[[str], list[tuple]], schema: str,
 
         for batch in batches:
             out: list[tuple] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for n, (path, content) in enumerate(each(batch), 1):
                 if content is not None:
                     found = parse(content)
                     out += [(path, i, *r) for i, r in enumerate(found)] if order else [(path, *r) for r in found]
-                if len(out) >= ROWS_A_BATCH:
+                if len(out) >= ROWS_A_BATCH or n % NOTES_A_BATCH == 0:
                     yield made(out)
                     out = []
             yield made(out)
@@ -130,7 +140,7 @@ def frontmatter(notes: DataFrame) -> DataFrame:
     """(path, status, fm_json, fm_text, fm_strings, fm_error): status is absent, empty, ok or malformed.
 
     fm_json is the YAML as JSON, fm_text each key's value as search compares it, fm_strings
-    every string with its key path and, in a list, its index.
+    every string with its key path and, in a list, its index.  Only the notes' heads reach Python.
     """
 
     def parse(text: str) -> list[tuple]:
@@ -146,7 +156,7 @@ def frontmatter(notes: DataFrame) -> DataFrame:
         texts = {k: yamlcore.as_text(v) for k, v in value.items() if isinstance(k, str)} if isinstance(value, dict) else {}
         return [("ok", yamlcore.as_json(value), texts, yamlcore.strings(value), None)]
 
-    return relation(notes, parse, "status string, fm_json string, fm_text map<string,string>, fm_strings array<struct<key:string,idx:int,text:string>>, fm_error string")
+    return relation(notes.select("path", parts.head().alias("content")), parse, "status string, fm_json string, fm_text map<string,string>, fm_strings array<struct<key:string,idx:int,text:string>>, fm_error string")
 
 
 def edges_of(text: str) -> list[tuple]:

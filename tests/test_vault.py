@@ -167,3 +167,28 @@ def test_a_note_is_loaded_from_any_folder_of_its_source(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert sorted(tuple(r) for r in got) == sorted(con.execute(Q.oracle_sql()["a3_load_note"]).fetchall()) and len(got) == 2
+
+
+def test_texts_of_a_batch_are_strings_one_at_a_time(spark):
+    # 3000 notes of 30,000 characters, 90 MB in Arrow and four times that as strings, in one batch.
+    notes = spark.range(0, 3000, 1, 1).select(F.concat("id", F.lit(".md")).alias("path"), F.concat(F.lit("📅 "), F.repeat(F.lit("abc "), 7500)).alias("content"))
+    # By value: the workers don't have this module.
+    read = eval("lambda text: [(int(open('/proc/self/statm').read().split()[1]) * 4096 // 2**20,)]")
+    used = extract.relation(notes, read, "mb int").agg(F.max("mb") - F.min("mb")).first()[0]
+    assert used < 100
+
+
+def test_frontmatter_of_heads_is_that_of_contents(spark):
+    from marginalia.functions.markdown import split_frontmatter
+
+    texts = ["---\na: 1\n---\nb", "---\r\na: 1\r\n---\r\nb", "---\na: 1\n---\r\nb\n---\n", "---\n---\n", "---\n\n---\n", "---\na: 1\n---", "---\na: 1\n--- \nb", "--- \na: 1\n---\n", "x\n---\na: 1\n---\n", "---\na: 1\na: 2\n---\n[[x]]", "---\n- x\n---\n", ""]
+    notes = spark.createDataFrame([(f"{i}.md", t) for i, t in enumerate(texts)], SCHEMA)
+    for r in extract.frontmatter(notes).collect():
+        raw = split_frontmatter(texts[int(r.path[:-3])])[0]
+        assert (raw is None) == (r.status == "absent"), r
+    assert "regexp_extract" in extract.frontmatter(notes)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_vault_asks_for_no_python(spark):
+    plan = Q.Vault(spark, "/root/testdata/sf0.001").notes._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
