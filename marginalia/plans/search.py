@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markdown, yamlcore
-from ..operators import notes as parts
+from ..operators import extract, notes as parts
 from .query import And, Matcher, Not, Or, Property, Query, Scope, Tag, Text, parse
 
 MATCHES = "array<struct<field:string,line:int,text:string>>"
@@ -231,17 +231,26 @@ def search(notes: DataFrame, query: Query | str, limit: int | None = None) -> Da
         kind = pa.list_(pa.struct([("field", pa.string()), ("line", pa.int32()), ("text", pa.string())]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = lambda paths, out: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, kind)], ["path", "matches"])
             for batch in batches:
-                out = []
-                for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                paths, out, held = [], [], 0
+                for path, content in extract.each(batch):
                     try:
-                        out.append([{"field": f, "line": n, "text": t} for f, n, t in evaluate(path, content, query)])
+                        found = evaluate(path, content, query)
                     except ValueError:
-                        out.append([])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["path", "matches"])
+                        continue
+                    if found:
+                        paths.append(path)
+                        out.append([{"field": f, "line": n, "text": t} for f, n, t in found])
+                        held += len(found)
+                    if held >= extract.ROWS_A_BATCH:
+                        yield made(paths, out)
+                        paths, out, held = [], [], 0
+                yield made(paths, out)
 
         found = rows.mapInArrow(run, schema)
-    found = found.where(F.size("matches") > 0).orderBy(F.split("path", "/"))
+    # Sorting samples what it sorts first; behind a shuffle the notes are searched only once.
+    found = found.where(F.size("matches") > 0).repartition("path").orderBy(F.split("path", "/"))
     return found.limit(limit) if limit is not None else found
 
 

@@ -93,3 +93,11 @@ def test_names(spark):
     notes = spark.createDataFrame([("Project Plan.md", ""), ("plan.md", ""), ("x/Plane.md", "")], "path string, content string")
     assert [r.path for r in S.find_names(notes, "plan", limit=3).collect()] == ["plan.md", "x/Plane.md", "Project Plan.md"]
     assert [r.path for r in S.find_names(notes, "plam", "fuzzy").collect()] == ["plan.md"]
+
+
+def test_notes_are_searched_once_though_sorted(spark):
+    notes = spark.range(40).selectExpr("concat(id, '.md') AS path", "'#x' AS content").repartition(4)
+    for query in ("tag:x", "-gone"):
+        plan = S.search(notes, query)._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("rangepartitioning") < plan.index("hashpartitioning(path")
+    assert [r.path for r in S.search(notes, "tag:x").collect()] == sorted(f"{i}.md" for i in range(40))
