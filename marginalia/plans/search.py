@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,9 +75,12 @@ def evaluate(path: str, content: str, query: Query) -> list[tuple[str, int | Non
         return [(query.field, None, text)] if matches_text(text, query.matcher, True) else []
     if isinstance(query, Tag):
         wanted = query.value.lower().lstrip("#")
-        for name, line, _, _ in markdown.tags(content):
+        for name, line, _, _ in _tags(content):
             if name.lstrip("#").lower() == wanted:
                 return [("tag", line, name)]
+        raw = markdown.split_frontmatter(content)[0]
+        if raw is None or _literal(wanted) and raw.isascii() and "\\" not in raw and wanted not in raw.lower():
+            return []
         listed = _fields(content).get("tags")
         own = [t for t in listed if isinstance(t, str) and t.lstrip("#").lower() == wanted] if isinstance(listed, list) else []
         return [("tag", 1, own[0])] if own else []
@@ -105,6 +109,16 @@ def evaluate(path: str, content: str, query: Query) -> list[tuple[str, int | Non
     return []
 
 
+def _literal(tag: str) -> bool:
+    """Whether YAML without escapes has the tag only as it stands; others may be folded or have doubled quotes."""
+    return tag.isascii() and not re.search(r"[\s'\"]", tag)
+
+
+# Of the last note, for queries that ask for several tags or properties of one.
+_tags = lru_cache(maxsize=1)(markdown.tags)
+
+
+@lru_cache(maxsize=1)
 def _fields(content: str) -> dict:
     raw = markdown.split_frontmatter(content)[0]
     try:
@@ -207,6 +221,8 @@ def prefilter(query: Query) -> Column | None:
             return _matched(F.col("path") if query.field == "path" else parts.name(), query.matcher, True)
         if query.matcher.kind == "contains":
             return F.contains(F.lower("content"), F.lit(query.matcher.value.lower()))
+    if isinstance(query, Tag) and _literal(wanted := query.value.lower().lstrip("#")):
+        return F.contains(F.lower("content"), F.lit(wanted)) | F.contains("content", F.lit("\\"))
     if isinstance(query, Property) and query.key.isascii():
         return F.contains(F.col("content"), F.lit(query.key))
     return None

@@ -101,3 +101,15 @@ def test_notes_are_searched_once_though_sorted(spark):
         plan = S.search(notes, query)._jdf.queryExecution().executedPlan().toString()
         assert plan.index("rangepartitioning") < plan.index("hashpartitioning(path")
     assert [r.path for r in S.search(notes, "tag:x").collect()] == sorted(f"{i}.md" for i in range(40))
+
+
+def test_a_tag_is_looked_for_in_yaml_only_where_it_may_be(spark, monkeypatch):
+    escaped = '---\ntags:\n  - "dr\\x61ft"\n---\n'
+    folded = "---\ntags:\n  - 'it''s'\n---\n"
+    assert S.evaluate("a.md", escaped, Tag("draft")) == [("tag", 1, "draft")] and S.evaluate("a.md", folded, Tag("it's")) == [("tag", 1, "it's")]
+    notes = spark.createDataFrame([("n.md", NOTE), ("e.md", escaped), ("f.md", folded), ("t.md", "#DRAFT"), ("z.md", "none")], "path string, content string")
+    assert [r.path for r in S.search(notes, "tag:draft").collect()] == ["e.md", "n.md", "t.md"]
+    assert [r.path for r in S.search(notes, Tag("it's")).collect()] == ["f.md"]
+    S._fields.cache_clear()
+    monkeypatch.setattr(S.yamlcore, "load", None)
+    assert S.evaluate("n.md", NOTE, parse("tag:(lang/de OR lang/fr)")) == []
