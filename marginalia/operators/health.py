@@ -172,14 +172,16 @@ def tasks_where(
 
 def info(notes: DataFrame, edges: DataFrame, tags: DataFrame, tasks: DataFrame) -> DataFrame:
     """One row of counts of the whole collection."""
-    one = notes.agg(F.count("*").alias("note_count"), F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0)).alias("total_size"))
-    links = edges.agg(F.count("*").alias("link_count"), F.count_if(F.col("resolved_path").isNull() & graph.media_type(F.col("target")).isNull()).alias("broken_link_count"))
-    return (
-        one.crossJoin(links)
-        .crossJoin(tags.agg(F.countDistinct("name").alias("tag_count")))
-        .crossJoin(tasks.agg(F.count("*").alias("task_count")))
-        .crossJoin(graph.orphans(notes, edges).agg(F.count("*").alias("orphan_count")))
-    )
+    # Notes beside the links that resolve to them, so that edges, the dearest relation, are made once.
+    own = notes.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.octet_length("content").cast("long")).alias("size"))
+    media = graph.media_type(F.col("target"))
+    to = edges.groupBy(F.col("resolved_path").alias("to")).agg(F.count("*").alias("links"), F.count_if(F.col("resolved_path").isNull() & media.isNull()).alias("broken"), F.max(F.col("resolved_path") != F.col("from")).alias("linked"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    counts = own.join(to, F.col("path") == F.col("to"), "full").agg(
+        total("n", "note_count"), total("size", "total_size"), total("links", "link_count"), total("broken", "broken_link_count"), total(F.when(~F.coalesce("linked", F.lit(False)), F.col("n")), "orphan_count")
+    )
+    found = counts.crossJoin(tags.agg(F.countDistinct("name").alias("tag_count"))).crossJoin(tasks.agg(F.count("*").alias("task_count")))
+    return found.select("note_count", "total_size", "link_count", "broken_link_count", "tag_count", "task_count", "orphan_count")
 
 
 def by_folder(notes: DataFrame) -> DataFrame:

@@ -192,3 +192,13 @@ def test_frontmatter_of_heads_is_that_of_contents(spark):
 def test_the_vault_asks_for_no_python(spark):
     plan = Q.Vault(spark, "/root/testdata/sf0.001").notes._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+
+
+def test_info_makes_edges_once_and_counts_right(spark):
+    rows = [("a.md", "[[b]] [[gone]] [[a]] ![[x.png]] #t"), ("b.md", "---\nup: '[[nope]]'\n---\n- [ ] t #t #u"), ("c.md", ""), ("d.md", None)]
+    notes = spark.createDataFrame(rows, SCHEMA)
+    info = health.info(notes, graph.outgoing(notes), extract.tags(notes), extract.task_rows(notes))
+    assert info.first().asDict() == {"note_count": 4, "total_size": sum(len(c or "") for _, c in rows), "link_count": 6, "broken_link_count": 3, "tag_count": 2, "task_count": 1, "orphan_count": 3}
+    assert info._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 4
+    none = notes.where("false")
+    assert health.info(none, graph.outgoing(none), extract.tags(none), extract.task_rows(none)).first()[:] == (0,) * 7
