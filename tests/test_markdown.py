@@ -92,3 +92,39 @@ def test_relative_dates():
     today = datetime.date(2024, 3, 1)
     known = {"Today": "2024-03-01", "tomorrow": "2024-03-02", "yesterday": "2024-02-29", "+3d": "2024-03-04", "-1w": "2024-02-23", "+2m": "2024-04-30", "2024-12-31": "2024-12-31", "2024-13-01": None, "+d": None, "soon": None, "+3y": None}
     assert {k: T.relative_date(k, today) for k in known} == known
+
+
+def test_links_and_tags_are_those_of_their_expressions():
+    import random
+
+    rng = random.Random(5)
+    parts = ["[[", "]]", "!", "#", "a", "b/c", "-", "_", "&", " ", "\n", "|", "^", "é", "1", "[", "]", "📅", "²"]
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 16)))
+        assert [(m.span(), m.groups()) for m in M.LINK.finditer(text)] == [(m.span(), m.groups()) for m in M.found_links(text)], text
+        assert [(m.start(1) - 1, m[1]) for m in M.TAG.finditer(text)] == [(m.start(), m[1]) for m in M.found_tags(text)], text
+
+
+def test_plain_yaml_is_read_by_libyaml_and_alike(monkeypatch):
+    import random
+
+    import yaml
+
+    def old(text):
+        try:
+            return repr(yaml.load(text, Loader=Y.Loader))
+        except (yaml.YAMLError, ValueError, RecursionError) as error:
+            return " ".join(str(error).split())
+
+    def new(text):
+        try:
+            return repr(Y.load(text))
+        except ValueError as error:
+            return str(error)
+
+    rng = random.Random(6)
+    bits = ["a", "b c", "k:", ": ", "- ", "\n", "\n  ", "\n- ", "\n  - ", ' "x"', '"', "'", " '[[D]]'", "1", "0x1F", "0o7", "1.5", ".inf", "TRUE", "null", "é", "---", "...", "'it''s'", "#", "\t", "\\", "{", "\nk: v", "\nk:\n", "²"]
+    for text in ["".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(2000)]:
+        assert new(text) == old(text), text
+    monkeypatch.setattr(yaml, "load", None)
+    assert Y.load('title: "D 1"\nrating: 3\nup: -1.5\nok: true\nno: null\ntags:\n  - de\n  - s/x\nm:\n  id: id-1\n') == {"title": "D 1", "rating": 3, "up": -1.5, "ok": True, "no": None, "tags": ["de", "s/x"], "m": {"id": "id-1"}}
