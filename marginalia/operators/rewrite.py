@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markdown, tasks, yamlcore
-from . import notes as parts
+from . import extract, notes as parts
+
+#: Characters of contents that are held before they go on as one batch.
+CHARACTERS_A_BATCH = 1_000_000
 
 
 class Fault(ValueError):
@@ -25,17 +28,23 @@ def rewritten(notes: DataFrame, change: Callable[[str], str]) -> DataFrame:
     schema = T._parse_datatype_string("path string, content string, error string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "content", "error"])
         for batch in batches:
-            out, errors = [], []
-            for content in batch.column(1).to_pylist():
+            paths, out, errors, held = [], [], [], 0
+            for path, content in extract.each(batch):
                 error = None
                 try:
                     content = None if content is None else change(content)
                 except ValueError as fault:
                     error = str(fault)
+                paths.append(path)
                 out.append(content)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], ["path", "content", "error"])
+                held += len(content or "")
+                if held >= CHARACTERS_A_BATCH:
+                    yield made(paths, out, errors)
+                    paths, out, errors, held = [], [], [], 0
+            yield made(paths, out, errors)
 
     return notes.select("path", "content").mapInArrow(run, schema)
 
@@ -306,9 +315,10 @@ def rename_with_links(notes: DataFrame, edges: DataFrame, moves: DataFrame) -> D
     schema = T._parse_datatype_string("path string, content string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "content"])
         for batch in batches:
-            out = []
-            for content, edits in zip(batch.column("content").to_pylist(), batch.column("edits").to_pylist()):
+            paths, out, held = [], [], 0
+            for path, content, edits in extract.each(batch):
                 if content is not None and edits:
                     cut = [x.encode() for x in content.split("\n")]
                     for e in sorted(edits, key=lambda e: (e["line"], -e["start_col"])):
@@ -316,8 +326,13 @@ def rename_with_links(notes: DataFrame, edges: DataFrame, moves: DataFrame) -> D
                         at = line.index(old, e["start_col"])
                         cut[e["line"] - 1] = line[:at] + e["goal"].encode() + line[at + len(old) :]
                     content = b"\n".join(cut).decode()
+                paths.append(path)
                 out.append(content)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], ["path", "content"])
+                held += len(content or "")
+                if held >= CHARACTERS_A_BATCH:
+                    yield made(paths, out)
+                    paths, out, held = [], [], 0
+            yield made(paths, out)
 
     joined = notes.join(todo, "path", "left").select("path", "content", "edits")
     return rename_notes(joined.mapInArrow(run, schema), moves)

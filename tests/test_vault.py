@@ -176,6 +176,8 @@ def test_texts_of_a_batch_are_strings_one_at_a_time(spark):
     read = eval("lambda text: [(int(open('/proc/self/statm').read().split()[1]) * 4096 // 2**20,)]")
     used = extract.relation(notes, read, "mb int").agg(F.max("mb") - F.min("mb")).first()[0]
     assert used < 100
+    got = rewrite.rewritten(notes, lambda text: text[:2] + str(read(text)[0][0]))
+    assert got.where("error is null").count() == 3000 and got.agg(F.max(F.substring("content", 3, 9).cast("int"))).first()[0] < 600
 
 
 def test_frontmatter_of_heads_is_that_of_contents(spark):
@@ -189,11 +191,6 @@ def test_frontmatter_of_heads_is_that_of_contents(spark):
     assert "regexp_extract" in extract.frontmatter(notes)._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_the_vault_asks_for_no_python(spark):
-    plan = Q.Vault(spark, "/root/testdata/sf0.001").notes._jdf.queryExecution().executedPlan().toString()
-    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
-
-
 def test_info_makes_edges_once_and_counts_right(spark):
     rows = [("a.md", "[[b]] [[gone]] [[a]] ![[x.png]] #t"), ("b.md", "---\nup: '[[nope]]'\n---\n- [ ] t #t #u"), ("c.md", ""), ("d.md", None)]
     notes = spark.createDataFrame(rows, SCHEMA)
@@ -202,3 +199,8 @@ def test_info_makes_edges_once_and_counts_right(spark):
     assert info._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 4
     none = notes.where("false")
     assert health.info(none, graph.outgoing(none), extract.tags(none), extract.task_rows(none)).first()[:] == (0,) * 7
+
+
+def test_the_vault_asks_for_no_python(spark):
+    plan = Q.Vault(spark, "/root/testdata/sf0.001").notes._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" in plan
