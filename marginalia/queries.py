@@ -192,7 +192,7 @@ query("d4_outgoing", "SELECT frm AS source, ord, target, target_key, context, li
 query("d6_context_hist", "SELECT split_part(context, ':', 1) AS context, count(*) AS links FROM eg GROUP BY 1", _EDGES)(lambda v: graph.context_counts(v.edges))
 query("d8_incoming", "SELECT DISTINCT st.to_path AS path, frm AS source, line, start_col FROM eg JOIN st ON target_key IN (stem, regexp_replace(lower(st.to_path), '[.]md$', ''))", _EDGES)(lambda v: graph.incoming(v.edges, v.notes).select("path", F.col("from").alias("source"), "line", "start_col"))
 query("d10_resolve_note", "SELECT query, CASE WHEN query = 'Doc 2' THEN 'ambiguous' ELSE 'found' END AS status, CASE WHEN query <> 'Doc 2' THEN path END AS path, CASE WHEN query <> 'Doc 2' THEN 'name' END AS match_type FROM (SELECT regexp_extract(path, '([^/]+)[.]md$', 1) AS query, path FROM notes) UNION ALL SELECT 'Gone', 'not_found', NULL, NULL UNION ALL SELECT 'x/Hub', 'found', 'x/Hub.md', 'path' UNION ALL SELECT 'hub-ALIAS', 'found', 'x/Hub.md', 'alias'")(
-    lambda v: graph.resolve_note(v.notes, v.frontmatter, v.notes.select(parts.name().alias("query")).unionByName(v.spark.createDataFrame([("Gone",), ("x/Hub",), ("hub-ALIAS",)], "query string"))).select("query", "status", "path", "match_type")
+    lambda v: graph.resolve_note(v.notes, v.frontmatter, v.notes.select(parts.name().alias("query")).unionByName(v.spark.sql("SELECT * FROM VALUES ('Gone'), ('x/Hub'), ('hub-ALIAS') AS asked(query)"))).select("query", "status", "path", "match_type")
 )
 query("d13_backlinks", "SELECT DISTINCT st.to_path AS path, frm AS source, line FROM eg JOIN st ON target_key IN (stem, regexp_replace(lower(st.to_path), '[.]md$', '')) WHERE NOT starts_with(context, 'frontmatter')", _EDGES)(lambda v: graph.backlinks(v.edges, v.notes, False).select("path", F.col("from").alias("source"), "line"))
 query("d14_in_degree", "SELECT to_path AS path, count(*) AS links, count(DISTINCT frm) AS sources FROM eg WHERE to_path IS NOT NULL AND NOT embed GROUP BY 1", _EDGES)(lambda v: graph.in_degree(v.edges))

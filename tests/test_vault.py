@@ -204,3 +204,4 @@ def test_info_makes_edges_once_and_counts_right(spark):
 def test_the_vault_asks_for_no_python(spark):
     plan = Q.Vault(spark, "/root/testdata/sf0.001").notes._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "LocalTableScan" in plan
+    assert "ExistingRDD" not in Q.queries()["d10_resolve_note"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
