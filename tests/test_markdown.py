@@ -128,3 +128,10 @@ def test_plain_yaml_is_read_by_libyaml_and_alike(monkeypatch):
         assert new(text) == old(text), text
     monkeypatch.setattr(yaml, "load", None)
     assert Y.load('title: "D 1"\nrating: 3\nup: -1.5\nok: true\nno: null\ntags:\n  - de\n  - s/x\nm:\n  id: id-1\n') == {"title": "D 1", "rating": 3, "up": -1.5, "ok": True, "no": None, "tags": ["de", "s/x"], "m": {"id": "id-1"}}
+
+
+def test_lines_without_a_box_cost_nothing_before_a_task(monkeypatch):
+    asked, old = [], T.task_of
+    monkeypatch.setattr(T, "task_of", lambda line, config: asked.append(line) or old(line, config))
+    found = T.tasks("plain\n" * 500 + "- [ ] a\n    text\n    - [x] b\n- c\n    - [ ] d\n", CONFIG)
+    assert [(r[0], r[6]) for r in found] == [(501, None), (503, 501), (505, None)] and len(asked) == 5
